@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Above this many coefficients the map is one Arrow batch product instead of
 # generated code, whose size grows with every term.
@@ -27,7 +27,7 @@ def affine(x: Sequence[Column], weights: np.ndarray, intercept: np.ndarray) -> l
             out.append(total)
         return out
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def product(rows: pd.Series) -> pd.Series:
         if len(rows) == 0:
             return pd.Series([], dtype=object)
@@ -51,7 +51,7 @@ def squared_distances(x: Sequence[Column], centres: np.ndarray) -> list[Column]:
             out.append(total)
         return out
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def distances(rows: pd.Series) -> pd.Series:
         if len(rows) == 0:
             return pd.Series([], dtype=object)
@@ -84,3 +84,16 @@ def softmax(logs: Sequence[Column]) -> list[Column]:
     for v in parts[1:]:
         total = total + v
     return [v / total for v in parts]
+
+
+def whitening(covariance: np.ndarray) -> np.ndarray:
+    """Rows map centred features to uncorrelated unit-variance ones.
+
+    Works on the correlation matrix, so columns of very different scale keep
+    their precision; directions without variance are left out.
+    """
+    scale = np.sqrt(np.clip(np.diag(covariance), 0, None))
+    scale[scale == 0] = 1.0
+    values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
+    keep = values > max(values.max(), 0) * 1e-12
+    return (vectors[:, keep] / np.sqrt(values[keep])).T / scale

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _TINY = 1e-300
 
@@ -89,12 +89,12 @@ def _over(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in r) else fn(*map(float, r)) for r in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return _over(chi2_tail, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _over(f_tail, x, d1, d2)
 

@@ -2,5 +2,10 @@
 
 from tabloom.operators import (  # noqa: F401
     prepare,
+    bayes,
+    decompose,
+    discriminant,
+    generate,
     scale,
+    select,
 )
