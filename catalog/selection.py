@@ -15,7 +15,7 @@ from tabloom.operators.scores import SCORES
 SHIFTED_SQL = f"""
 WITH long AS ({EMBEDDING_LONG_SQL}),
 f AS (SELECT vec_id, label % 3 AS y, feature, i,
-             x + 1.0e0 + CASE WHEN i < 8 THEN (i + 1) * 0.01e0 * (label % 3) ELSE 0.0e0 END AS x FROM long)
+             x + 1.0e0 + CASE WHEN i < 8 THEN (i + 1) * 0.05e0 * (label % 3) ELSE 0.0e0 END AS x FROM long)
 """
 
 
@@ -23,7 +23,7 @@ def shifted(spark, sf, task=CLASSIFICATION) -> Table:
     df = embedding_columns(load(spark, sf, "embeddings"))
     y = F.col("label") % 3
     cols = [
-        (F.col(f"e{i:02d}") + 1.0 + (y * ((i + 1) * F.lit(0.01)) if i < 8 else F.lit(0.0))).alias(f"e{i:02d}")
+        (F.col(f"e{i:02d}") + 1.0 + (y * ((i + 1) * F.lit(0.05)) if i < 8 else F.lit(0.0))).alias(f"e{i:02d}")
         for i in range(64)
     ]
     return Table.of(df.select("vec_id", y.alias("y"), *cols), "vec_id", "y", task=task)

@@ -37,7 +37,8 @@ class Table:
     """Rows with a key, an optional label and an ordered list of features.
 
     Operators never rely on physical row order: whatever needs an order takes
-    it from ``key``. ``prediction`` names the column a learner has added.
+    it from ``key``. ``prediction`` names the column a learner has added;
+    ``carry`` lists further columns that pass through every operator unchanged.
     """
 
     df: DataFrame
@@ -46,6 +47,7 @@ class Table:
     features: tuple[str, ...] = ()
     task: str | None = None
     prediction: str | None = None
+    carry: tuple[str, ...] = ()
 
     @staticmethod
     def of(
@@ -73,7 +75,7 @@ class Table:
         for extra in (self.label, self.prediction):
             if extra and extra not in names:
                 names.append(extra)
-        return names
+        return [*names, *[n for n in self.carry if n not in names]]
 
     def dtype(self, name: str) -> T.DataType:
         return self.df.schema[name].dataType
@@ -90,7 +92,7 @@ class Table:
         return number(name, self.dtype(name))
 
     def derive(self, columns: Mapping[str, Column]) -> "Table":
-        """Replace the features; key, label and prediction are carried along."""
+        """Replace the features; key, label, prediction and carried columns stay."""
         kept = [c(n) for n in self.roles]
         df = self.df.select(*kept, *[col.alias(n) for n, col in columns.items()])
         return replace(self, df=df, features=tuple(columns))

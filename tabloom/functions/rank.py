@@ -19,6 +19,9 @@ from tabloom.frame import c, is_numeric
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
 EXACT_DISTINCT = 1_000_000
+# Longer edge lists are searched in a literal array: nested conditions would
+# outgrow the size limit of generated methods.
+NESTED_EDGES = 8
 _B, _O = "__range", "__offset"
 
 
@@ -47,7 +50,8 @@ def literal_array(values: Sequence) -> Column:
 
 
 def range_of(value: Column, edges: Sequence) -> Column:
-    """Number of edges that are <= value, by binary search over literals."""
+    """Number of edges that are <= value; null values count none."""
+    step = 64
     if not edges:
         return F.lit(0)
     if len(edges) == 1:
@@ -59,15 +63,14 @@ def range_of(value: Column, edges: Sequence) -> Column:
         mid = (lo + hi) // 2
         return F.when(value < F.lit(edges[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    if len(edges) <= 64:
+    if len(edges) <= NESTED_EDGES:
         return search(0, len(edges))
-    # Two literal arrays: a coarse step over every 64th edge, then its 64 fine edges.
-    step = 64
-    arr = literal_array(edges)
-    coarse = [edges[i] for i in range(0, len(edges), step)]
-    block = F.size(F.filter(literal_array(coarse), lambda e: e <= value))
-    fine = F.slice(arr, F.greatest(block - 1, F.lit(0)) * step + 1, step)
-    return F.greatest(block - 1, F.lit(0)) * step + F.size(F.filter(fine, lambda e: e <= value))
+    if len(edges) <= step:
+        return F.size(F.filter(literal_array(edges), lambda e: e <= value))
+    # A coarse step over every 64th edge, then the 64 edges behind it.
+    block = F.greatest(F.size(F.filter(literal_array(edges[::step]), lambda e: e <= value)) - 1, F.lit(0))
+    fine = F.slice(literal_array(edges), block * step + 1, step)
+    return block * step + F.size(F.filter(fine, lambda e: e <= value))
 
 
 def running_total(

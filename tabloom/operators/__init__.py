@@ -1,11 +1,18 @@
 """All operators; importing the package fills the registry."""
 
 from tabloom.operators import (  # noqa: F401
-    prepare,
     bayes,
+    boosting,
     decompose,
     discriminant,
+    eliminate,
+    ensemble,
     generate,
+    linear,
+    neighbors,
+    prepare,
+    regress,
     scale,
     select,
+    trees,
 )

@@ -12,6 +12,11 @@ from tabloom.functions.linear import first_max
 from tabloom.operators.base import Operator
 
 
+def roles_of(t: Table) -> list[str]:
+    """Columns that stay beside a new prediction (an earlier one is replaced)."""
+    return replace(t, prediction=None).roles
+
+
 class Classifier(Operator):
     """Emits ``prediction`` and one ``{class}_{title}Pred`` column per class."""
 
@@ -21,14 +26,12 @@ class Classifier(Operator):
 
     def outputs(self, t: Table, labels: Sequence, probabilities: Sequence[Column], prediction: Column | None = None) -> Table:
         names = [f"{v}_{self.title}Pred" for v in labels]
-        kept = [c(n) for n in t.key] + ([c(t.label)] if t.label and t.label not in t.key else [])
-        df = t.df.select(
-            *kept, F.array(*probabilities).alias("__p"), *([prediction.alias("prediction")] if prediction is not None else [])
-        )
+        kept = [c(n) for n in roles_of(t)]
+        own = [prediction.alias("prediction")] if prediction is not None else []
+        df = t.df.select(*kept, F.array(*probabilities).alias("__p"), *own)
         p = [F.get("__p", F.lit(i)) for i in range(len(labels))]
         chosen = F.col("prediction") if prediction is not None else first_max(p, labels)
-        keep = [k for k in t.key] + ([t.label] if t.label and t.label not in t.key else [])
-        df = df.select(*[c(k) for k in keep], chosen.alias("prediction"), *[v.alias(n) for n, v in zip(names, p)])
+        df = df.select(*kept, chosen.alias("prediction"), *[v.alias(n) for n, v in zip(names, p)])
         return replace(t, df=df, features=tuple(names), prediction="prediction", task=CLASSIFICATION)
 
     def one_hot_outputs(self, t: Table, labels: Sequence, prediction: Column) -> Table:
@@ -43,7 +46,6 @@ class Regressor(Operator):
     title = "Regressor"
 
     def outputs(self, t: Table, prediction: Column) -> Table:
-        keep = [*t.key] + ([t.label] if t.label and t.label not in t.key else [])
-        df = t.df.select(*[c(k) for k in keep], prediction.alias("prediction"))
+        df = t.df.select(*[c(k) for k in roles_of(t)], prediction.alias("prediction"))
         df = df.withColumn(f"{self.title}Pred", F.col("prediction"))
         return replace(t, df=df, features=(f"{self.title}Pred",), prediction="prediction", task=REGRESSION)
