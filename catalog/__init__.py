@@ -9,6 +9,12 @@ from catalog import ( # noqa: F401
     preparation,
     scaling,
     selection,
+    decomposition,
+    learning,
+    models,
+    pipelines,
+    profiling,
+    sampling,
 )
 
 __all__ = ["QUERIES", "ORACLES"]

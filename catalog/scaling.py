@@ -135,8 +135,8 @@ def q_kbins_hot(spark, sf):
     return result(get_operator("kbins_one_hot").fit_transform(unlabelled(spark, sf, BINNED)))
 
 
-# Prices in units of 70000, so that six decimals are within double precision.
-SMALL = {"q": "l_quantity", "price": "l_extendedprice / 70000", "disc": "l_discount", "tax": "l_tax"}
+# Prices in units of 70001, so that six decimals are within double precision.
+SMALL = {"q": "l_quantity", "price": "l_extendedprice / 70001", "disc": "l_discount", "tax": "l_tax"}
 SMALL_SQL = f"WITH f AS (SELECT {K}, {', '.join(f'{e} AS {n}' for n, e in SMALL.items())} FROM lineitem)"
 PAIRS = [(a, b) for i, a in enumerate(SMALL) for b in list(SMALL)[i + 1 :]]
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, whitening
-from tabloom.functions.rank import literal_array
 from tabloom.functions.stats import Moments, means, moments
 from tabloom.operators.base import Operator, register
 
@@ -256,32 +255,28 @@ class RandomTreesEmbedding(Operator):
                 f = rng.choice(open_features)
                 split[tree][node] = (f, rng.uniform(low[f], high[f]))
         leaves = []
-        found = t.df.select(F.posexplode(self._routes(t, split, depth)).alias("tree", "node")).distinct().collect()
+        found = t.df.select(F.posexplode(self._routes(t, split)).alias("tree", "node")).distinct().collect()
         for r in sorted((r["tree"], r["node"]) for r in found):  # at most trees * 2 ** depth
             leaves.append(list(r))
         return {"split": [{str(k): v for k, v in s.items()} for s in split], "depth": depth, "leaves": leaves}
 
     @staticmethod
-    def _route(t: Table, split: dict, depth: int) -> Column:
-        size = 2 ** (depth + 1)
-        which = literal_array([float(split.get(i, (-1, 0.0))[0]) for i in range(size)])
-        cut = literal_array([float(split.get(i, (-1, 0.0))[1]) for i in range(size)])
-        x = F.array(*[t.number(n) for n in t.features])
-
-        def step(node, _):
-            f = F.get(which, node).cast("int")
-            right = (F.get(x, f) > F.get(cut, node)).cast("int")
-            return F.when(f < 0, node).otherwise(node * 2 + right)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(1), step) if depth else F.lit(1)
-
-    def _routes(self, t: Table, split: list[dict], depth: int) -> Column:
-        return F.array(*[self._route(t, s, depth) for s in split])
+    def _route(t: Table, split: dict, node: int = 1) -> Column:
+        """Nested conditions from the root down, compiled to branches."""
+        if node not in split:
+            return F.lit(node)
+        f, cut = split[node]
+        right = RandomTreesEmbedding._route(t, split, 2 * node + 1)
+        left = RandomTreesEmbedding._route(t, split, 2 * node)
+        return F.when(t.number(t.features[f]) > F.lit(cut), right).otherwise(left)
+
+    def _routes(self, t: Table, split: list[dict]) -> Column:
+        return F.array(*[self._route(t, s) for s in split])
 
     def _ranges(self, t: Table, split: list[dict], level: int) -> dict:
         p = len(t.features)
         numbers = [t.number(n).alias(f"x{i}") for i, n in enumerate(t.features)]
-        routed = t.df.select(F.posexplode(self._routes(t, split, level)).alias("tree", "node"), *numbers)
+        routed = t.df.select(F.posexplode(self._routes(t, split)).alias("tree", "node"), *numbers)
         aggs = [f(f"x{i}").alias(f"{a}{i}") for i in range(p) for f, a in ((F.min, "a"), (F.max, "b"))]
         rows = routed.where(F.col("node") >= 2**level).groupBy("tree", "node").agg(F.count("*").alias("n"), *aggs).collect()
         return {
@@ -289,11 +284,14 @@ class RandomTreesEmbedding(Operator):
             for r in rows
         }
 
-    def columns(self, t, state):
+    def apply(self, t, state):
         code = "".join(n[0] for n in t.features)[:10]
         split = [{int(k): tuple(v) for k, v in s.items()} for s in state["split"]]
-        routes = [self._route(t, s, state["depth"]) for s in split]
-        return {
-            f"{j}_rfembdng{code}": F.when(routes[tree] == node, 1.0).otherwise(0.0)
-            for j, (tree, node) in enumerate(state["leaves"])
-        }
+        # Each tree is routed once per row; the leaf columns only compare.
+        routed = t.with_df(t.df.withColumn("__leaf", self._routes(t, split)))
+        return routed.derive(
+            {
+                f"{j}_rfembdng{code}": F.when(F.get("__leaf", F.lit(tree)) == node, 1.0).otherwise(0.0)
+                for j, (tree, node) in enumerate(state["leaves"])
+            }
+        )

@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabloom.frame import Table
+from tabloom.functions.rank import ROWS_PER_RANGE, running_total
 from tabloom.operators.base import get_operator, operator_names
 from tabloom.plans.contracts import Profile, accepts, needed, profile_table
 from tabloom.plans.metrics import cross_validate, evaluate
@@ -78,13 +79,14 @@ def baseline_leaderboard(t: Table, dataset: str, metric: str = "accuracy", learn
 
 
 def score_vs_baselines(runs: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Per run: the share of its dataset's baseline scores it reaches."""
-    base = baselines.select("dataset", F.col("score").alias("base"))
-    return (
-        runs.join(base, "dataset")
-        .groupBy("dataset", "run", "score")
-        .agg(F.avg((F.col("base") <= F.col("score")).cast("int")).alias("reward"))
-    )
+    """Per run: the share of its dataset's baseline scores it reaches.
+
+    A dataset has one baseline score per learner, so its scores travel as one
+    short array and no run-baseline pairs are formed.
+    """
+    base = baselines.groupBy("dataset").agg(F.collect_list("score").alias("base"))
+    reached = F.size(F.filter("base", lambda b: b <= F.col("score"))) / F.size("base")
+    return runs.join(base, "dataset").select("dataset", "run", "score", reached.alias("reward"))
 
 
 def best_pipeline(runs: DataFrame) -> DataFrame:
@@ -97,10 +99,22 @@ def best_pipeline(runs: DataFrame) -> DataFrame:
     return runs.groupBy("dataset").agg(best).select("dataset", F.col("b.run").alias("run"), F.col("b.score").alias("score"))
 
 
-def trailing_mean(runs: DataFrame, window: int = 100) -> DataFrame:
-    """Mean of the last ``window`` scores per dataset, the current run included."""
-    w = W.partitionBy("dataset").orderBy("run").rowsBetween(-(window - 1), 0)
-    return runs.withColumn("trailing", F.avg("score").over(w))
+def trailing_mean(runs: DataFrame, window: int = 100, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Mean of the last ``window`` scores per dataset, the current run included.
+
+    Runs are numbered first; stretches of consecutive numbers are windowed apart
+    from each other, each with the last runs of the stretch before it, so one
+    large dataset does not end up in one task.
+    """
+    size = max(rows_per_range, window)
+    placed = running_total(runs, ["run"], ["dataset"], out="__i", rows_per_range=rows_per_range)
+    own = F.floor(F.col("__i") / size)
+    tail = F.pmod("__i", F.lit(size)) > size - window
+    homes = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
+    copies = placed.withColumn("__own", own).withColumn("__at", F.explode(homes))
+    w = W.partitionBy("dataset", "__at").orderBy("__i").rowsBetween(-(window - 1), 0)
+    done = copies.withColumn("trailing", F.avg("score").over(w)).where(F.col("__at") == F.col("__own"))
+    return done.drop("__i", "__own", "__at")
 
 
 def candidate_steps(
