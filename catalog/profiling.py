@@ -279,7 +279,7 @@ def _stats(df):
 
 
 def _skewness(n: str, source: str) -> str:
-    return f"(SELECT avg(pow({n} - m, 3)) / pow(any_value(v), 1.5) FROM {source}, (SELECT avg({n}) AS m, var_pop({n}) AS v FROM {source}))"
+    return f"(SELECT avg(pow({n} - mean_, 3)) / pow(any_value(var_), 1.5) FROM {source}, (SELECT avg({n}) AS mean_, var_pop({n}) AS var_ FROM {source}))"
 
 
 NUMERIC_SQL = " UNION ALL ".join(

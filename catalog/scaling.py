@@ -53,36 +53,36 @@ def q_normalize(spark, sf):
     return result(get_operator("normalize_rows").fit_transform(unlabelled(spark, sf)))
 
 
-# Repeated landmarks keep their first and last position.
-QUANTILE_SQL = f"""
-WITH probs AS (SELECT i, i / 100.0e0 AS p FROM range(101) g(i)),
-q AS (SELECT quantile_cont(l_quantity, [i / 100.0e0 for i in range(101)]) AS a,
-             quantile_cont(l_extendedprice, [i / 100.0e0 for i in range(101)]) AS b FROM lineitem),
-ma AS (SELECT a[i + 1] AS x, min(p) AS first, max(p) AS last FROM q, probs GROUP BY 1),
-mb AS (SELECT b[i + 1] AS x, min(p) AS first, max(p) AS last FROM q, probs GROUP BY 1),
-na AS (SELECT x, first, last, lead(x) OVER (ORDER BY x) AS nx, lead(first) OVER (ORDER BY x) AS nf FROM ma),
-nb AS (SELECT x, first, last, lead(x) OVER (ORDER BY x) AS nx, lead(first) OVER (ORDER BY x) AS nf FROM mb),
-va AS (SELECT v, CASE WHEN v <= (SELECT min(x) FROM ma) THEN 0 WHEN v >= (SELECT max(x) FROM ma) THEN 1
+def _quantile_sql(marks: int) -> str:
+    """Repeated landmarks keep their first and last position; each distinct value is placed once."""
+    probs = f"[i / {marks - 1}.0e0 for i in range({marks})]"
+    parts = []
+    for t, n in (("a", "l_quantity"), ("b", "l_extendedprice")):
+        parts.append(f"""
+m{t} AS (SELECT {t}[i + 1] AS x, min(p) AS first, max(p) AS last FROM q, probs GROUP BY 1),
+n{t} AS (SELECT x, first, last, lead(x) OVER (ORDER BY x) AS nx, lead(first) OVER (ORDER BY x) AS nf FROM m{t}),
+v{t} AS (SELECT v, CASE WHEN v <= (SELECT min(x) FROM m{t}) THEN 0 WHEN v >= (SELECT max(x) FROM m{t}) THEN 1
               WHEN v = x THEN (first + last) / 2 ELSE last + (nf - last) * (v - x) / (nx - x) END AS y
-       FROM (SELECT DISTINCT l_quantity AS v FROM lineitem) JOIN na ON x <= v AND (nx > v OR nx IS NULL)),
-vb AS (SELECT v, CASE WHEN v <= (SELECT min(x) FROM mb) THEN 0 WHEN v >= (SELECT max(x) FROM mb) THEN 1
-              WHEN v = x THEN (first + last) / 2 ELSE last + (nf - last) * (v - x) / (nx - x) END AS y
-       FROM (SELECT DISTINCT l_extendedprice AS v FROM lineitem) JOIN nb ON x <= v AND (nx > v OR nx IS NULL))
+       FROM (SELECT DISTINCT {n} AS v FROM lineitem) ASOF JOIN n{t} ON v >= x)""")
+    return f"""
+WITH probs AS (SELECT i, i / {marks - 1}.0e0 AS p FROM range({marks}) g(i)),
+q AS (SELECT quantile_cont(l_quantity, {probs}) AS a, quantile_cont(l_extendedprice, {probs}) AS b FROM lineitem),
+{",".join(parts)}
 SELECT {K}, {r6('va.y', 'l_quantity_qntl')}, {r6('vb.y', 'l_extendedprice_qntl')}
 FROM lineitem JOIN va ON va.v = l_quantity JOIN vb ON vb.v = l_extendedprice
 """
 
 
-@query("quantile_transform", QUANTILE_SQL)
+@query("quantile_transform", _quantile_sql(1000))
 def q_quantile(spark, sf):
     t = unlabelled(spark, sf, ["l_quantity", "l_extendedprice"])
-    return result(get_operator("quantile_transform", landmarks=101).fit_transform(t))
+    return result(get_operator("quantile_transform").fit_transform(t))
 
 
-@query("quantile_transform_1000")
-def q_quantile_1000(spark, sf):
+@query("quantile_transform_100", _quantile_sql(101))
+def q_quantile_100(spark, sf):
     t = unlabelled(spark, sf, ["l_quantity", "l_extendedprice"])
-    return result(get_operator("quantile_transform").fit_transform(t))
+    return result(get_operator("quantile_transform", landmarks=101).fit_transform(t))
 
 
 def _power(n: str, lam: float) -> str:

@@ -19,6 +19,8 @@ from tabloom.frame import c, is_numeric
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
 EXACT_DISTINCT = 1_000_000
+# ``percentile`` walks all distinct values once per probability.
+PERCENTILE_STEPS = 20_000_000
 # Longer edge lists are searched in a literal array: nested conditions would
 # outgrow the size limit of generated methods.
 NESTED_EDGES = 8
@@ -126,7 +128,8 @@ def quantiles(
 
     Spark's ``percentile`` keeps one map of distinct values per column in the
     final task, so it is used only for columns whose distinct count is known
-    to be small. The others go through ``ranked_values``.
+    to be small. The others are counted per value, cut into ranges, and only the
+    ranges that hold a wanted rank are sorted.
     """
     probs = [float(p) for p in probs]
     names = list(columns)
@@ -135,7 +138,8 @@ def quantiles(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
         *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(names))],
     ).first()
-    small = [i for i in range(len(names)) if sizes[f"d{i}"] <= exact_distinct]
+    fits = min(exact_distinct, PERCENTILE_STEPS // max(len(probs), 1))
+    small = [i for i in range(len(names)) if sizes[f"d{i}"] <= fits]
     large = [i for i in range(len(names)) if i not in small]
     found: dict[str, list[float] | None] = {}
     if small:
@@ -165,14 +169,19 @@ def _selected(data: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
         before = F.coalesce(
             F.sum("n").over(W.partitionBy(_B).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         )
-        wanted = data.sparkSession.createDataFrame([(r,) for r in ranks], "r bigint")
+        # Ranks and values meet on equal stretches of the rank axis: an equi-join.
+        width = max(1, n // len(ranks))
+        wanted = data.sparkSession.createDataFrame([(r, r // width) for r in ranks], "r bigint, stretch bigint")
         spans = (
             ranged.join(F.broadcast(starts), _B)  # at most MAX_RANGES rows
             .select("v", (F.col(_O) + before).alias("lo"), "n")
         )
-        hits = spans.join(
-            F.broadcast(wanted),  # two rows per probability
-            (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("lo") + F.col("n")),
+        last = F.col("lo") + F.col("n") - 1
+        placed = spans.withColumn(
+            "stretch", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(last / width)))
+        )
+        hits = placed.join(F.broadcast(wanted), "stretch").where(  # two rows per probability
+            (F.col("r") >= F.col("lo")) & (F.col("r") <= last)
         )
         at = {r["r"]: r["v"] for r in hits.select("r", "v").collect()}
     finally:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from tabloom.frame import Table
 from tabloom.functions.rank import literal_array, quantiles, range_of
@@ -119,23 +121,41 @@ class QuantileTransform(_Scale):
                 first.setdefault(x, p)
                 last[x] = p
             xs = sorted(first)
-            v = t.number(n)
-            # np.interp semantics on repeated x: ascending scan ends on the last
-            # position, the mirrored scan on the first one.
-            up = _interp_ties(v, xs, [first[x] for x in xs], [last[x] for x in xs])
-            out[self.rename(n)] = F.when(v <= F.lit(xs[0]), 0.0).when(v >= F.lit(xs[-1]), 1.0).otherwise(up)
+            place = _by_expression if len(xs) <= EXPRESSION_MARKS else _by_batch
+            out[self.rename(n)] = place(t.number(n), xs, [first[x] for x in xs], [last[x] for x in xs])
         return out
 
 
-def _interp_ties(v: Column, xs, first, last) -> Column:
+# Up to this many landmarks the map is a literal search in generated code;
+# beyond it a binary search over Arrow batches is several times faster.
+EXPRESSION_MARKS = 16
+
+
+def _by_expression(v: Column, xs: list, first: list, last: list) -> Column:
     """Between landmarks: from the last position of x0 to the first of x1; on a landmark: their mean."""
-    if len(xs) == 1:
-        return F.when(v.isNotNull(), F.lit(0.0))
-    i = F.least(F.greatest(range_of(v, xs) - 1, F.lit(0)), F.lit(len(xs) - 2)).cast("int")
-    xa, fa, la = (literal_array([float(z) for z in zs]) for zs in (xs, first, last))
-    x0, x1 = F.get(xa, i), F.get(xa, i + 1)
-    slope = (F.get(fa, i + 1) - F.get(la, i)) / (x1 - x0)
-    return F.when(v == x0, (F.get(fa, i) + F.get(la, i)) / 2.0).otherwise(F.get(la, i) + slope * (v - x0))
+    inside = F.when(v.isNotNull(), F.lit(0.0))
+    if len(xs) > 1:
+        i = F.least(F.greatest(range_of(v, xs) - 1, F.lit(0)), F.lit(len(xs) - 2)).cast("int")
+        xa, fa, la = (literal_array([float(z) for z in zs]) for zs in (xs, first, last))
+        x0, x1 = F.get(xa, i), F.get(xa, i + 1)
+        slope = (F.get(fa, i + 1) - F.get(la, i)) / (x1 - x0)
+        inside = F.when(v == x0, (F.get(fa, i) + F.get(la, i)) / 2.0).otherwise(F.get(la, i) + slope * (v - x0))
+    return F.when(v <= F.lit(xs[0]), 0.0).when(v >= F.lit(xs[-1]), 1.0).otherwise(inside)
+
+
+def _by_batch(v: Column, xs: list, first: list, last: list) -> Column:
+    x, fa, la = (np.array(z, dtype=float) for z in (xs, first, last))
+
+    @F.pandas_udf(T.DoubleType())
+    def place(values: pd.Series) -> pd.Series:
+        q = values.to_numpy(dtype=float)
+        i = np.clip(np.searchsorted(x, q, side="right") - 1, 0, len(x) - 2)
+        x0, x1 = x[i], x[i + 1]
+        y = np.where(q == x0, (fa[i] + la[i]) / 2, la[i] + (fa[i + 1] - la[i]) * (q - x0) / (x1 - x0))
+        y = np.where(q <= x[0], 0.0, np.where(q >= x[-1], 1.0, y))
+        return pd.Series(y).where(~np.isnan(q))
+
+    return place(v)
 
 
 def yeo_johnson(x: Column, lam: float | Column) -> Column:
@@ -247,9 +267,12 @@ class KBinsOneHot(_Scale):
     def learn(self, t):
         return {"edges": bin_edges(t, t.features, self.params.get("bins", 5))}
 
-    def columns(self, t, state):
+    def apply(self, t, state):
+        # The bin of a value is found once; its flags only compare.
+        found = F.array(*[bin_of(t.number(n), e).cast("int") for n, e in state["edges"].items()])
+        binned = t.with_df(t.df.withColumn("__bins", found))
         out = {}
-        for n, edges in state["edges"].items():
+        for i, (n, edges) in enumerate(state["edges"].items()):
             for j in range(len(edges) + 1):
-                out[f"{self.rename(n)}{j}"] = F.when(bin_of(t.number(n), edges) == j, 1.0).otherwise(0.0)
-        return out
+                out[f"{self.rename(n)}{j}"] = F.when(F.get("__bins", F.lit(i)) == j, 1.0).otherwise(0.0)
+        return binned.derive(out)
