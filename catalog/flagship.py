@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.registry import gappy_lines, rounded
 from tabloom import get_operator
-from tabloom.plans.metrics import accuracy, balanced_accuracy
+from tabloom.plans.metrics import METRICS
 from tabloom.sources.splits import train_test_split
 
 
@@ -14,9 +16,8 @@ def flagship(spark, sf):
     for name in ("impute_mean", "standard_scale", "clf_gaussian_nb"):
         fitted = get_operator(name).fit(train)
         train, test = fitted.transform(train), fitted.transform(test)
-    scored = test.df
-    return rounded(
-        accuracy(scored, "l_returnflag", "prediction").crossJoin(
-            balanced_accuracy(scored, "l_returnflag", "prediction")
-        )
-    )
+    scores = [
+        METRICS[name](test.df, test.label, test.prediction).select(F.lit(name).alias("metric"), F.col(name).alias("value"))
+        for name in ("accuracy", "balanced_accuracy")
+    ]
+    return rounded(scores[0].unionByName(scores[1]))

@@ -3,7 +3,7 @@
 A global window (no ``partitionBy``) pulls the table into one task. Here the
 order column is cut into ranges, every range is totalled by a partial
 aggregate, and only the small table of range totals is windowed; inside a
-range an ordinary window runs in parallel. Range edges come from a sketch and
+range an ordinary window runs in parallel. Range edges come from a sample and
 influence only the balance of the work, never the result.
 """
 
@@ -12,12 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabloom.frame import c, is_numeric
+from tabloom.frame import c
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
+SAMPLED_PER_RANGE = 64
 EXACT_DISTINCT = 1_000_000
 # ``percentile`` walks all distinct values once per probability.
 PERCENTILE_STEPS = 20_000_000
@@ -27,20 +28,38 @@ NESTED_EDGES = 8
 _B, _O = "__range", "__offset"
 
 
-def range_edges(df: DataFrame, column: str, ranges: int) -> list:
-    """At most ``ranges - 1`` ascending cut points of ``column``."""
+def range_edges(df: DataFrame, order: Sequence[str], ranges: int, rows: int) -> list[tuple]:
+    """At most ``ranges - 1`` ascending cut points of the order, as tuples of its columns.
+
+    They come from a bounded sample of the whole order tuple: where one value of
+    the leading column holds many rows, the further columns cut it.
+    """
     if ranges <= 1:
         return []
-    dtype = df.schema[column].dataType
-    probs = [i / ranges for i in range(1, ranges)]
-    if is_numeric(dtype) and not isinstance(dtype, T.BooleanType):
-        found = df.agg(F.percentile_approx(c(column), literal_array(probs), max(10000, 4 * ranges))).first()[0]
-        return sorted(set(found or []))
-    total = df.count()
-    wanted = 64 * ranges
-    drawn = df.select(c(column)).sample(False, min(1.0, wanted / max(total, 1)), 7).collect()
-    values = sorted(r[0] for r in drawn if r[0] is not None)
-    return sorted({values[int(p * len(values))] for p in probs}) if values else []
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / max(rows, 1))
+    drawn = df.select(*[c(o) for o in order]).sample(False, share, 7).collect()
+    tuples = sorted(tuple(r) for r in drawn if all(v is not None for v in r))
+    if not tuples:
+        return []
+    return sorted({tuples[len(tuples) * i // ranges] for i in range(1, ranges)})
+
+
+def range_by_order(order: Sequence[str], edges: Sequence[tuple]) -> Column:
+    """Number of edge tuples that are <= the order columns; the first column alone if it suffices."""
+    firsts = [e[0] for e in edges]
+    if len(order) == 1 or len(set(firsts)) == len(firsts):
+        return range_of(c(order[0]), firsts)
+    here = F.struct(*[c(o).alias(f"o{i}") for i, o in enumerate(order)])
+    step = 64
+
+    def literals(part: Sequence[tuple]) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(e)]) for e in part])
+
+    if len(edges) <= step:
+        return F.size(F.filter(literals(edges), lambda e: e <= here))
+    block = F.greatest(F.size(F.filter(literals(edges[::step]), lambda e: e <= here)) - 1, F.lit(0))
+    fine = F.slice(literals(edges), block * step + 1, step)
+    return block * step + F.size(F.filter(fine, lambda e: e <= here))
 
 
 def literal_array(values: Sequence) -> Column:
@@ -92,9 +111,9 @@ def running_total(
     w = c(weight) if weight else F.lit(1).cast("bigint")
     rows = df.count()
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
-    edges = range_edges(df, order[0], ranges)
+    edges = range_edges(df, order, ranges, rows)
     ordered = W.partitionBy(*[c(g) for g in group], F.col(_B)).orderBy(*[c(o) for o in order])
-    ranged = df.withColumn(_B, range_of(c(order[0]), edges).cast("int"))
+    ranged = df.withColumn(_B, range_by_order(order, edges).cast("int"))
     inside = F.coalesce(F.sum(w).over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     if not edges:
         done = ranged.withColumn(out, inside)
@@ -157,8 +176,9 @@ def _selected(data: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
     ranks = sorted({math.floor(h) for h in places} | {math.ceil(h) for h in places})
     counts = data.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n")).persist()
     try:
-        edges = range_edges(counts, "v", min(MAX_RANGES, max(2, math.ceil(n / ROWS_PER_RANGE))))
-        ranged = counts.withColumn(_B, range_of(F.col("v"), edges).cast("int"))
+        distinct = counts.count()
+        edges = range_edges(counts, ["v"], min(MAX_RANGES, max(2, math.ceil(distinct / ROWS_PER_RANGE))), distinct)
+        ranged = counts.withColumn(_B, range_by_order(["v"], edges).cast("int"))
         totals = sorted((r[_B], r["t"]) for r in ranged.groupBy(_B).agg(F.sum("n").alias("t")).collect())
         offset, needed = 0, {}
         for b, t in totals:

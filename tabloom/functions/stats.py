@@ -16,6 +16,7 @@ MAX_CLASSES = 10_000
 # Up to here second moments are plain SUM expressions inside generated code;
 # wider tables use one Arrow pass of BLAS products per batch.
 EXPRESSION_WIDTH = 12
+JOB_WIDTH = 400
 
 
 class TooManyLevels(ValueError):
@@ -23,12 +24,19 @@ class TooManyLevels(ValueError):
 
 
 def one_row(df: DataFrame, aggregates: dict[str, Column]) -> dict:
-    """Run one aggregate job and return its row."""
-    if not aggregates:
-        return {}
+    """Run the aggregates and return their values by name.
+
+    One job up to ``JOB_WIDTH`` aggregates. A wider table takes several, each
+    reading only its own columns, so a columnar source is still read once and
+    the generated code stays small.
+    """
     names = list(aggregates)
-    row = df.agg(*[aggregates[n].alias(f"a{i}") for i, n in enumerate(names)]).first()
-    return {n: row[i] for i, n in enumerate(names)}
+    found: dict = {}
+    for start in range(0, len(names), JOB_WIDTH):
+        part = names[start : start + JOB_WIDTH]
+        row = df.agg(*[aggregates[n].alias(f"a{i}") for i, n in enumerate(part)]).first()
+        found |= {n: row[i] for i, n in enumerate(part)}
+    return found
 
 
 def unpivot(df: DataFrame, columns: dict[str, Column], keep: dict[str, Column] | None = None) -> DataFrame:

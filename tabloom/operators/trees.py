@@ -20,6 +20,7 @@ from tabloom.functions.rank import range_of
 from tabloom.functions.stats import class_index, classes, one_row
 from tabloom.operators.base import register
 from tabloom.operators.learner import Classifier, Regressor
+from tabloom.session import ensure_checkpoint_dir
 
 DEEP = 30  # the deepest tree Spark ML grows
 VEC, IDX = "__vec", "__idx"
@@ -171,6 +172,7 @@ class _Boosted(Classifier):
         return t.number(n)
 
     def learn(self, t):
+        ensure_checkpoint_dir(t.df.sparkSession)  # the trees' own checkpoints go there
         labels = classes(t)
         data = indexed(t, labels, lambda n: self.value(t, n)).persist()
         models = []

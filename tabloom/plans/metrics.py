@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabloom.frame import Table, c
 from tabloom.sources.splits import kfold
@@ -31,14 +31,15 @@ def balanced_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     per_class = cells.select(F.explode(sides).alias("s")).groupBy("s.cls").agg(
         F.sum("s.t").alias("t"), F.sum("s.q").alias("q"), F.sum("s.hit").alias("hit")
     )
-    total = cells.agg(F.sum("n").alias("all"))
-    # One-row side: the grand total.
-    joined = per_class.join(F.broadcast(total), F.lit(True))
+    # One row per class from here on; a window over them carries the grand total.
+    everywhere = W.partitionBy(F.lit(0))
+    none = F.lit(0).cast("bigint")
+    totalled = per_class.withColumn("all", F.sum("t").over(everywhere))
     rest = F.col("all") - F.col("t")
-    specificity = (rest - (F.col("q") - F.col("hit"))) / F.nullif(rest, F.lit(0).cast("bigint"))
-    score = F.when(F.col("t") == 0, 0.0).otherwise((F.col("hit") / F.nullif(F.col("t"), F.lit(0).cast("bigint")) + specificity) / 2)
+    specificity = (rest - (F.col("q") - F.col("hit"))) / F.nullif(rest, none)
+    score = F.when(F.col("t") == 0, 0.0).otherwise((F.col("hit") / F.nullif(F.col("t"), none) + specificity) / 2)
     undefined = F.max((F.col("t") == F.col("all")).cast("int")) == 1
-    return joined.agg(F.when(undefined, F.lit(None).cast("double")).otherwise(F.avg(score)).alias("balanced_accuracy"))
+    return totalled.agg(F.when(undefined, F.lit(None).cast("double")).otherwise(F.avg(score)).alias("balanced_accuracy"))
 
 
 def mean_squared_error(df: DataFrame, truth: str, predicted: str) -> DataFrame:

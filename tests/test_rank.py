@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tabloom.frame import number
-from tabloom.functions.rank import average_ranks, quantiles, range_of, running_total
+from tabloom.functions.rank import average_ranks, quantiles, range_by_order, range_edges, range_of, running_total
 from tabloom.plans.columnstats import spearman
 from tabloom import Table
 
@@ -68,3 +68,14 @@ def test_average_ranks_and_spearman(spark):
     t = Table.of(df, "id", None, ["v", "w"])
     rho = spearman(t, [("v", "w")], rows_per_range=200).first()["value"]
     assert np.isclose(rho, pdf["v"].rank().corr(pdf["w"].rank()))
+
+
+def test_a_hot_leading_value_is_cut_by_the_next_column(spark):
+    """All rows share the first order column; ranges must still be small."""
+    df = spark.range(1000).select(F.lit(1.0).alias("v"), F.col("id")).repartition(5)
+    edges = range_edges(df, ["v", "id"], 20, 1000)
+    assert len(edges) > 10
+    sizes = df.groupBy(range_by_order(["v", "id"], edges).alias("r")).count().toPandas()["count"]
+    assert sizes.max() < 200
+    placed = running_total(df, ["v", "id"], rows_per_range=50).toPandas().sort_values("id")
+    assert (placed["before"].to_numpy() == np.arange(1000)).all()
