@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import (
     EMBEDDING_LONG_SQL,
     HASH_SQL,
-
+    LINE_KEY,
     LINE_NUMBERS,
     embeddings,
     keys_sql,
@@ -19,7 +19,7 @@ from catalog.registry import (
     rounded,
 )
 from tabloom import Table, get_operator
-from tabloom.frame import CLASSIFICATION, c
+from tabloom.frame import CLASSIFICATION
 from tabloom.operators.ensemble import MajorityVote
 from tabloom.operators.neighbors import nearest
 from tabloom.plans.metrics import METRICS, cross_validate
@@ -174,12 +174,32 @@ def q_ridge(spark, sf):
     return run("clf_ridge", lines(spark, sf, TWO))
 
 
-@query("clf_ridge_cv")
+# Penalties compared by the summed squared leave-one-out error of all classes.
+RIDGE_CV_SQL = f"""
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_quantity AS a, l_discount * 300 AS b, * FROM lineitem),
+al AS (SELECT unnest([0.1e0, 1.0e0, 10.0e0]) AS alpha),
+g AS (SELECT alpha, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) + alpha AS saa,
+      var_pop(b) * count(*) + alpha AS sbb, covar_pop(a, b) * count(*) AS sab FROM r, al GROUP BY alpha),
+k AS (SELECT DISTINCT l_returnflag AS y FROM r),
+t AS (SELECT k.y, avg(CASE WHEN l_returnflag = k.y THEN 1 ELSE -1 END) AS mt,
+      covar_pop(a, CASE WHEN l_returnflag = k.y THEN 1 ELSE -1 END) * count(*) AS ca,
+      covar_pop(b, CASE WHEN l_returnflag = k.y THEN 1 ELSE -1 END) * count(*) AS cb FROM r, k GROUP BY k.y),
+s AS MATERIALIZED (SELECT alpha, rid, t.y, CASE WHEN l_returnflag = t.y THEN 1 ELSE -1 END AS target,
+      mt + ((sbb * ca - sab * cb) * (a - ma) + (saa * cb - sab * ca) * (b - mb)) / (saa * sbb - sab * sab) AS s,
+      1.0e0 / n + (sbb * pow(a - ma, 2) - 2 * sab * (a - ma) * (b - mb) + saa * pow(b - mb, 2)) / (saa * sbb - sab * sab) AS h
+      FROM r, t, g),
+best AS (SELECT alpha FROM (SELECT alpha, sum(pow((target - s) / (1 - h), 2)) AS e FROM s GROUP BY alpha) ORDER BY e LIMIT 1),
+o AS (SELECT rid, arg_max(y, s) AS prediction FROM s WHERE alpha = (SELECT alpha FROM best) GROUP BY rid)
+SELECT {keys_sql('r.')}, l_returnflag, prediction, {_flags('RidgeClassifierCV')} FROM o JOIN r USING (rid)
+"""
+
+
+@query("clf_ridge_cv", RIDGE_CV_SQL)
 def q_ridge_cv(spark, sf):
-    return run("clf_ridge_cv", lines(spark, sf))
+    df = load(spark, sf, "lineitem").selectExpr(*LINE_KEY, "l_returnflag", "l_quantity AS a", "l_discount * 300 AS b")
+    return run("clf_ridge_cv", Table.of(df, LINE_KEY, "l_returnflag", ["a", "b"], CLASSIFICATION))
 
 
-TRAIN = HASH_SQL.format(key="vec_id") + " < 1717986917"
 NEIGHBOURS = f"""
 WITH long AS MATERIALIZED ({EMBEDDING_LONG_SQL}),
 d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, any_value(t.label) AS label, sum(pow(q.x - t.x, 2)) AS d2

@@ -28,13 +28,10 @@ def affine(x: Sequence[Column], weights: np.ndarray, intercept: np.ndarray) -> l
         return out
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def product(rows: pd.Series) -> pd.Series:
-        if len(rows) == 0:
-            return pd.Series([], dtype=object)
-        y = np.vstack(rows.to_numpy()).astype(float) @ weights.T + intercept
-        return pd.Series(list(y))
+    def product(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(rows.to_numpy(dtype=float) @ weights.T + intercept), dtype=object)
 
-    scores = product(F.array(*x))
+    scores = product(F.struct(*[v.alias(f"x{i}") for i, v in enumerate(x)]))
     return [F.get(scores, F.lit(i)) for i in range(k)]
 
 
@@ -52,13 +49,11 @@ def squared_distances(x: Sequence[Column], centres: np.ndarray) -> list[Column]:
         return out
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def distances(rows: pd.Series) -> pd.Series:
-        if len(rows) == 0:
-            return pd.Series([], dtype=object)
-        v = np.vstack(rows.to_numpy()).astype(float)
-        return pd.Series([((centres - r) ** 2).sum(axis=1) for r in v])
+    def distances(rows: pd.DataFrame) -> pd.Series:
+        v = rows.to_numpy(dtype=float)
+        return pd.Series(list(np.stack([((v - m) ** 2).sum(axis=1) for m in centres], axis=1)), dtype=object)
 
-    found = distances(F.array(*x))
+    found = distances(F.struct(*[v.alias(f"x{i}") for i, v in enumerate(x)]))
     return [F.get(found, F.lit(i)) for i in range(k)]
 
 

@@ -82,6 +82,15 @@ def classes(t: Table) -> list:
     return sorted((r[0] for r in rows if r[0] is not None))
 
 
+def number_columns(t: Table, features: Sequence[str]) -> list[Column]:
+    """The features as double columns x0.. for an Arrow pass (no per-row arrays)."""
+    return [t.number(n).alias(f"x{i}") for i, n in enumerate(features)]
+
+
+def number_matrix(pdf: pd.DataFrame, p: int) -> np.ndarray:
+    return pdf[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
+
+
 @dataclass
 class Moments:
     """Row count, mean vector and centred scatter matrix of the features."""
@@ -135,9 +144,7 @@ def _arrow_scatter(t: Table, features: list[str], at: np.ndarray, label_index: C
     """Sum of centred outer products per class index, via partial sums per partition."""
     p = len(features)
     index = label_index if label_index is not None else F.lit(0)
-    data = t.df.select(
-        index.cast("int").alias("k"), F.array(*[t.number(n) for n in features]).alias("x")
-    ).where(F.col("k").isNotNull())
+    data = t.df.select(index.cast("int").alias("k"), *number_columns(t, features)).where(F.col("k").isNotNull())
     centres = at
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +152,7 @@ def _arrow_scatter(t: Table, features: list[str], at: np.ndarray, label_index: C
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.vstack(pdf["x"].to_numpy()).astype(float)
+            x = number_matrix(pdf, p)
             ks = pdf["k"].to_numpy()
             for k in np.unique(ks):
                 part = x[ks == k] - centres[k]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, whitening
-from tabloom.functions.stats import Moments, means, moments
+from tabloom.functions.stats import Moments, means, moments, number_columns, number_matrix
 from tabloom.operators.base import Operator, register
 
 
@@ -136,13 +136,14 @@ class PcaRandomized(PcaFull):
 
 def _sum_arrays(t: Table, width: int, block) -> np.ndarray:
     """Sum over all rows of ``block(x)``: per-partition sums, then a keyed aggregate."""
-    data = t.df.select(F.array(*[t.number(n) for n in t.features]).alias("x"))
+    p = len(t.features)
+    data = t.df.select(*number_columns(t, t.features))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
             if len(pdf):
-                part = block(np.vstack(pdf["x"].to_numpy()).astype(float))
+                part = block(number_matrix(pdf, p))
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"s": [total.ravel()]})

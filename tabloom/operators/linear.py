@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, first_max
-from tabloom.functions.stats import class_index, classes, means, one_row
+from tabloom.functions.stats import class_index, classes, means, number_columns, number_matrix, one_row
 from tabloom.operators.base import register
 from tabloom.operators.learner import Classifier
 from tabloom.operators.trees import IDX, VEC, indexed
@@ -213,8 +213,8 @@ class LogisticRegressionCV(_OneVsRest):
         row = one_row(t.df, {name: F.stddev_pop(t.number(name)) for name in t.features})
         scale = np.array([row[name] or 1.0 for name in t.features])
         folded = kfold(t, folds)
-        x = F.array(*[t.number(name) for name in t.features])
-        data = folded.df.select(x.alias("x"), class_index(t, labels).alias("k"), "fold").where("k is not null").persist()
+        xs = number_columns(t, t.features)
+        data = folded.df.select(*xs, class_index(t, labels).alias("k"), "fold").where("k is not null").persist()
         targets = [1] if len(labels) == 2 else list(range(len(labels)))
         try:
             problems = [(c_, f, k) for c_ in self.grid for f in range(folds) for k in targets]
@@ -238,7 +238,7 @@ class LogisticRegressionCV(_OneVsRest):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for f, part in pdf.groupby("fold"):
-                    z = (np.vstack(part["x"].to_numpy()) - mean) / scale
+                    z = (number_matrix(part, len(mean)) - mean) / scale
                     z = np.hstack([z, np.ones((len(z), 1))])
                     k = part["k"].to_numpy()
                     for c_ in grid:
@@ -268,7 +268,7 @@ def _newton(data: DataFrame, problems: list[tuple], mean: np.ndarray, scale: np.
             for pdf in batches:
                 if not len(pdf):
                     continue
-                z = (np.vstack(pdf["x"].to_numpy()) - mean) / scale
+                z = (number_matrix(pdf, len(mean)) - mean) / scale
                 z = np.hstack([z, np.ones((len(z), 1))])
                 k, fold = pdf["k"].to_numpy(), pdf["fold"].to_numpy()
                 for i in range(m):
@@ -316,8 +316,8 @@ class PassiveAggressive(_OneVsRest):
         labels = classes(t)
         targets = [1] if len(labels) == 2 else list(range(len(labels)))
         p, bound = len(t.features), self.params.get("C", 1.0)
-        x = F.array(*[t.number(n) for n in t.features])
-        data = t.df.select(x.alias("x"), class_index(t, labels).alias("k")).where("k is not null").persist()
+        xs = number_columns(t, t.features)
+        data = t.df.select(*xs, class_index(t, labels).alias("k")).where("k is not null").persist()
         w = np.zeros((len(targets), p + 1))
         try:
             for _ in range(self.params.get("epochs", 5)):
@@ -328,7 +328,7 @@ class PassiveAggressive(_OneVsRest):
                     for pdf in batches:
                         if not len(pdf):
                             continue
-                        z = np.vstack(pdf["x"].to_numpy()).astype(float)
+                        z = number_matrix(pdf, p)
                         z = np.hstack([z, np.ones((len(z), 1))])
                         signs = np.where(pdf["k"].to_numpy()[:, None] == np.array(targets), 1.0, -1.0)
                         norms = (z[:, :-1] ** 2).sum(axis=1)
