@@ -83,12 +83,12 @@ def classes(t: Table) -> list:
 
 
 def number_columns(t: Table, features: Sequence[str]) -> list[Column]:
-    """The features as double columns x0.. for an Arrow pass (no per-row arrays)."""
-    return [t.number(n).alias(f"x{i}") for i, n in enumerate(features)]
+    """The features as double columns __x0.. for an Arrow pass (no per-row arrays)."""
+    return [t.number(n).alias(f"__x{i}") for i, n in enumerate(features)]
 
 
 def number_matrix(pdf: pd.DataFrame, p: int) -> np.ndarray:
-    return pdf[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
+    return pdf[[f"__x{i}" for i in range(p)]].to_numpy(dtype=float)
 
 
 @dataclass

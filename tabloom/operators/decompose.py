@@ -256,29 +256,30 @@ class RandomTreesEmbedding(Operator):
                 f = rng.choice(open_features)
                 split[tree][node] = (f, rng.uniform(low[f], high[f]))
         leaves = []
-        found = t.df.select(F.posexplode(self._routes(t, split)).alias("tree", "node")).distinct().collect()
+        numbers = t.df.select(*number_columns(t, t.features))
+        found = numbers.select(F.posexplode(self._routes(split)).alias("tree", "node")).distinct().collect()
         for r in sorted((r["tree"], r["node"]) for r in found):  # at most trees * 2 ** depth
             leaves.append(list(r))
         return {"split": [{str(k): v for k, v in s.items()} for s in split], "depth": depth, "leaves": leaves}
 
     @staticmethod
-    def _route(t: Table, split: dict, node: int = 1) -> Column:
-        """Nested conditions from the root down, compiled to branches."""
+    def _route(split: dict, node: int = 1) -> Column:
+        """Nested conditions from the root down over columns __x0.., compiled to branches."""
         if node not in split:
             return F.lit(node)
         f, cut = split[node]
-        right = RandomTreesEmbedding._route(t, split, 2 * node + 1)
-        left = RandomTreesEmbedding._route(t, split, 2 * node)
-        return F.when(t.number(t.features[f]) > F.lit(cut), right).otherwise(left)
+        right = RandomTreesEmbedding._route(split, 2 * node + 1)
+        left = RandomTreesEmbedding._route(split, 2 * node)
+        return F.when(F.col(f"__x{f}") > F.lit(cut), right).otherwise(left)
 
-    def _routes(self, t: Table, split: list[dict]) -> Column:
-        return F.array(*[self._route(t, s) for s in split])
+    def _routes(self, split: list[dict]) -> Column:
+        return F.array(*[self._route(s) for s in split])
 
     def _ranges(self, t: Table, split: list[dict], level: int) -> dict:
         p = len(t.features)
-        numbers = [t.number(n).alias(f"x{i}") for i, n in enumerate(t.features)]
-        routed = t.df.select(F.posexplode(self._routes(t, split)).alias("tree", "node"), *numbers)
-        aggs = [f(f"x{i}").alias(f"{a}{i}") for i in range(p) for f, a in ((F.min, "a"), (F.max, "b"))]
+        numbers = t.df.select(*number_columns(t, t.features))
+        routed = numbers.select(F.posexplode(self._routes(split)).alias("tree", "node"), *numbers.columns)
+        aggs = [f(f"__x{i}").alias(f"{a}{i}") for i in range(p) for f, a in ((F.min, "a"), (F.max, "b"))]
         rows = routed.where(F.col("node") >= 2**level).groupBy("tree", "node").agg(F.count("*").alias("n"), *aggs).collect()
         return {
             (r["tree"], r["node"]): (r["n"], [r[f"a{i}"] for i in range(p)], [r[f"b{i}"] for i in range(p)])
@@ -289,7 +290,8 @@ class RandomTreesEmbedding(Operator):
         code = "".join(n[0] for n in t.features)[:10]
         split = [{int(k): tuple(v) for k, v in s.items()} for s in state["split"]]
         # Each tree is routed once per row; the leaf columns only compare.
-        routed = t.with_df(t.df.withColumn("__leaf", self._routes(t, split)))
+        numbers = t.df.select("*", *number_columns(t, t.features))
+        routed = t.with_df(numbers.withColumn("__leaf", self._routes(split)))
         return routed.derive(
             {
                 f"{j}_rfembdng{code}": F.when(F.get("__leaf", F.lit(tree)) == node, 1.0).otherwise(0.0)
