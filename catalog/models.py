@@ -18,7 +18,7 @@ TEXT_COUNTS = {
 
 
 def texts(spark, sf, label="toxic", drop=(), task=CLASSIFICATION) -> Table:
-    df = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id")
+    df = load(spark, sf, "documents", wide=True).join(load(spark, sf, "labels"), "doc_id")
     names = [n for n in TEXT_COUNTS if n not in drop and n != label]
     target = f"{TEXT_COUNTS[label]} AS {label}" if label in TEXT_COUNTS else label
     cells = [f"{TEXT_COUNTS[n]} AS {n}" for n in names]

@@ -236,14 +236,17 @@ class BalancedForest(Classifier):
         s = class_stats(t, [])
         k = class_index(t, s.labels)
         weight = F.get(F.array(*[F.lit(float(s.n.min() / n)) for n in s.n]), k)
-        data = t.df.select(vector(t).alias(VEC), k.cast("double").alias(IDX), weight.alias("__w")).where(F.col(IDX).isNotNull())
+        data = t.df.select(vector(t).alias(VEC), k.cast("double").alias(IDX), weight.alias("__w")).where(F.col(IDX).isNotNull()).persist()
         forest = RandomForestClassifier(
             numTrees=self.params.get("trees", 100),
             maxDepth=self.params.get("depth", 15),
             featureSubsetStrategy="sqrt",
             weightCol="__w",
         )
-        return {"labels": s.labels, "model": ml_roles(forest, self.params.get("seed", 0)).fit(data)}
+        try:
+            return {"labels": s.labels, "model": ml_roles(forest, self.params.get("seed", 0)).fit(data)}
+        finally:
+            data.unpersist()
 
     def apply(self, t, state):
         scored = state["model"].transform(t.df.withColumn(VEC, vector(t)))

@@ -48,8 +48,12 @@ class _MlClassifier(Classifier):
 
     def learn(self, t):
         labels = classes(t)
-        data = indexed(t, labels, lambda n: self.value(t, n))
-        return {"labels": labels, "model": self.estimator(len(labels), len(t.features)).fit(data)}
+        # Split finding, metadata and growing each read the vectors; the source is read once.
+        data = indexed(t, labels, lambda n: self.value(t, n)).persist()
+        try:
+            return {"labels": labels, "model": self.estimator(len(labels), len(t.features)).fit(data)}
+        finally:
+            data.unpersist()
 
     def apply(self, t, state):
         wide = t.df.withColumn(VEC, vector(t, lambda n: self.value(t, n)))
@@ -239,8 +243,11 @@ class _MlRegressor(Regressor):
         raise NotImplementedError
 
     def learn(self, t):
-        data = t.df.select(vector(t).alias(VEC), t.number(t.label).alias(IDX))
-        model = self.estimator().setFeaturesCol(VEC).setLabelCol(IDX).setPredictionCol("__mlp").fit(data)
+        data = t.df.select(vector(t).alias(VEC), t.number(t.label).alias(IDX)).persist()
+        try:
+            model = self.estimator().setFeaturesCol(VEC).setLabelCol(IDX).setPredictionCol("__mlp").fit(data)
+        finally:
+            data.unpersist()
         return {"model": model}
 
     def apply(self, t, state):
