@@ -148,7 +148,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, le
     placed = ranged.select(F.spark_partition_id().alias("part"), "row", "doc_tokens")
     placed = stage(placed.mapInArrow(places, "part int, row long, doc_tokens long, before long"))
     sums = bases(placed, "part", "doc_tokens")
-    starts = placed.join(sums, "part").select("row", (F.col("base") + F.col("before")).alias("first"), "total")
+    # a row per range partition of the shuffle
+    starts = placed.join(F.broadcast(sums), "part").select("row", (F.col("base") + F.col("before")).alias("first"), "total")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

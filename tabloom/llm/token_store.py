@@ -94,7 +94,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards with ``start``: the ids in all shards before."""
     shards = spark.read.schema(SHARDS).parquet(path)
     sums = bases(shards.select("part", "n_tokens"), "part", "n_tokens").withColumnRenamed("part", "of")
-    joined = shards.join(sums, shards.part == sums.of)
+    # a row per range part, at most FINER times the shuffle partitions of the writer
+    joined = shards.join(F.broadcast(sums), shards.part == sums.of)
     return joined.select(*shards.columns, (F.col("base") + F.col("first_in_part")).alias("start"))
 
 

@@ -9,6 +9,10 @@ opening of a control token are encoded as they are, without the shortcuts below.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,9 +21,11 @@ from tabloom.llm.common import spread
 
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
-MEMO = 400_000
-#: Chunks that one call of the library gets in a string, with the separator between them.
-TOGETHER = 500
+MEMO = 1_000_000
+#: Words that the library gets in one string, with the separator between them.
+TOGETHER = 3000
+#: Words of small Latin letters: no normal form, lower case or split changes them.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SEPARATOR = "\x00"
 
 _encoders: dict[str, Encoder] = {}
@@ -40,12 +46,14 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # the same model for words that need no normalizer and no split
+        self.plain = Tokenizer.from_str(json.dumps(json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}))
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self._forget()
@@ -101,26 +109,29 @@ class Encoder:
         memo = self.memo
         new = [w for w in words if w not in memo]
         if new:
-            found = self._encoded(new)
-            lengths = np.array([len(x) for x in found], dtype=np.int64)
-            starts = len(self.pool) + np.cumsum(lengths) - lengths
-            for k, w in enumerate(new, len(self.starts)):
-                memo[w] = k
-            self.pool = np.concatenate([self.pool, *found])
-            self.starts = np.concatenate([self.starts, starts])
+            letters = [w for w in new if LETTERS(w)]
+            others = [w for w in new if not LETTERS(w)]
+            flat, lengths = zip(self._encoded(self.plain, letters), self._encoded(self.library, others), strict=True)
+            lengths = np.concatenate(lengths)
+            memo.update(zip(letters + others, range(len(self.starts), len(self.starts) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
+            self.pool = np.concatenate([self.pool, *flat])
         return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+    def _encoded(self, library, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and their counts."""
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         joined = [f" {SEPARATOR} ".join(g) for g in groups]
-        out: list[np.ndarray] = []
-        for group, found in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        flat, counts = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
+        for group, found in zip(groups, library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype=self.dtype)
             cuts = np.flatnonzero(ids == self.separator[0]) if len(self.separator) == 1 else np.zeros(0, dtype=np.int64)
             if len(cuts) == len(group) - 1:
-                edges = np.concatenate([[-1], cuts, [len(ids)]])
-                out += [ids[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                flat.append(np.delete(ids, cuts))
+                counts.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
             else:
-                out += [np.array(self.library.encode(w, add_special_tokens=False).ids, dtype=self.dtype) for w in group]
-        return out
+                alone = [self.library.encode(w, add_special_tokens=False).ids for w in group]
+                flat.append(np.array([i for x in alone for i in x], dtype=self.dtype))
+                counts.append(np.array([len(x) for x in alone], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(counts)
