@@ -95,5 +95,15 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), data]).cast(pa.binary())
 
 
-def salt(column: Column, count: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+#: Tables of at most so many rows, counted first, are broadcast; larger ones are joined by salted keys.
+SMALL, SALTS = 10_000, 32
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Column, salted_by: Column, limit: int | None = None) -> DataFrame:
+    """Join a table of one row per source, group or class, whose keys may be very uneven in ``rows``."""
+    limit = SMALL if limit is None else limit
+    if small.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(small), on)
+    copies = small.withColumn("copy_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("row_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, on & (F.col("row_salt") == F.col("copy_salt"))).drop("row_salt", "copy_salt")

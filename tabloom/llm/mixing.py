@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import partitions, read
+from tabloom.llm.common import join_small, partitions, read
 
 SEED = 11
 #: Without weights, sources are weighted by their documents to this power.
 TEMPERATURE = 0.5
-#: Source tables of at most so many rows (checked) are broadcast; larger ones are joined by salted keys.
-SMALL, SALTS = 10_000, 32
 
 
 def unit(*parts: str | Column) -> Column:
@@ -72,12 +70,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     rows = docs.select(F.struct(*own).alias("own"), name.alias("name_"))
     rows = rows.withColumn("draw", unit(F.lit(str(seed)), "name_"))
     same = F.col("own.source").eqNullSafe(F.col("from_source"))
-    if rates.limit(SMALL + 1).count() <= SMALL:
-        rated = rows.join(F.broadcast(rates), same)
-    else:
-        salted = rates.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = rows.withColumn("row_salt", F.pmod(F.xxhash64("name_"), F.lit(SALTS)).cast("int"))
-        rated = rated.join(salted, same & (F.col("row_salt") == F.col("salt_")))
+    rated = join_small(rows, rates, same, F.col("name_"))
     copies = F.when(F.col("rate") > 0, F.size(F.filter("steps", lambda c: c <= F.col("draw")))).otherwise(0)
     counted = rated.select("own", "name_", copies.alias("copies")).filter(F.col("copies") > 0)
     out = counted.select("own", "name_", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies")

@@ -170,7 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["doc_id", "label", "features"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("features", "ascending")])
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("features", "ascending")])
         good = table["label"].to_numpy() == 1
         # the sets of a bounded sample, in an order that does not follow the ids
         order = np.random.default_rng(1).permutation(len(good))

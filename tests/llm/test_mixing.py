@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import mixing
+from tabloom.llm import common, mixing
 from tabloom.llm.mixing import mix
 
 
@@ -44,7 +44,7 @@ def test_counts_are_inverse_poisson(spark):
 
 
 def test_many_sources_take_the_salted_join(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SMALL", 1)
+    monkeypatch.setattr(common, "SMALL", 1)
     assert result(mix(frame(spark))) == brute(ROWS, None)
 
 
