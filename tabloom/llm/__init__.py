@@ -5,10 +5,10 @@ Nothing else in the library imports this subpackage.
 
 from __future__ import annotations
 
-from tabloom.llm import chat_format, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, token_store, topk_search
+from tabloom.llm import chat_format, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, token_store, topk_search
 
 QUERIES = {}
 ORACLES = {}
-for module in (quality_rules, chat_format, packing, line_dedup, quality_classifier, pii, mixing, topk_search, token_store):
+for module in (quality_rules, chat_format, packing, jaccard_join, line_dedup, quality_classifier, pii, mixing, topk_search, token_store):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
