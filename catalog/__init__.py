@@ -9,6 +9,7 @@ from catalog import ( # noqa: F401
     preparation,
     scaling,
     selection,
+    hard_columns,
     streams,
     decomposition,
     learning,

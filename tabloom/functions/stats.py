@@ -50,6 +50,19 @@ def unpivot(df: DataFrame, columns: dict[str, Column], keep: dict[str, Column] |
     )
 
 
+#: A squared correlation this close to 1 is 1: rounding noise of a proportional column.
+PERFECT = 1e-12
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; null where a side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread_a, spread_b = F.var_pop(a), F.var_pop(b)
+    r = F.covar_pop(a, b) / F.nullif(F.sqrt(spread_a) * F.sqrt(spread_b), F.lit(0.0))
+    return F.when((spread_a > 0) & (spread_b > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def level_counts(t: Table, columns: Sequence[str]) -> DataFrame:
     """(feature, level, n) with the missing level spelled 'NaN'."""
     texts = {n: F.coalesce(c(n).cast("string"), F.lit("NaN")) for n in columns}

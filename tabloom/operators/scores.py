@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabloom.frame import Table, c
 from tabloom.functions.pvalues import chi2_p, f_p
-from tabloom.functions.stats import unpivot
+from tabloom.functions.stats import PERFECT, correlation, unpivot
 from tabloom.operators.scale import bin_edges, bin_of
 
 
@@ -49,7 +49,9 @@ def score_f_classif(t: Table) -> DataFrame:
         (F.count("*") - 1).alias("d1"),
         (F.sum("n") - F.count("*")).alias("d2"),
     )
-    ratio = (F.col("between") / F.col("d1")) / F.nullif(F.col("within") / F.col("d2"), F.lit(0.0))
+    # no spread within the classes: infinite if their means differ, undefined if they do not
+    ratio = F.when(F.col("within") > 0, (F.col("between") / F.nullif(F.col("d1"), F.lit(0))) / F.nullif(F.col("within") / F.nullif(F.col("d2"), F.lit(0)), F.lit(0.0)))
+    ratio = ratio.when(F.col("between") > 0, F.lit(float("inf")))
     return sums.select("feature", ratio.alias("score"), "d1", "d2").select(
         "feature", "score", f_p(F.col("score"), F.col("d1"), F.col("d2")).alias("p_value")
     )
@@ -59,17 +61,19 @@ def score_f_regression(t: Table) -> DataFrame:
     """F of the simple regression on each feature, from its correlation."""
     y = t.number(t.label)
     row = t.df.agg(
-        F.count("*").alias("n"), *[F.corr(t.number(n), y).alias(f"r{i}") for i, n in enumerate(t.features)]
+        F.count("*").alias("n"), *[correlation(t.number(n), y).alias(f"r{i}") for i, n in enumerate(t.features)]
     )
     long = unpivot(row, {n: F.col(f"r{i}") for i, n in enumerate(t.features)}, {"n": F.col("n")})
     r2 = F.col("value") * F.col("value")
-    scored = long.select("feature", (r2 / (1 - r2) * (F.col("n") - 2)).alias("score"), (F.col("n") - 2).alias("d2"))
+    score = F.when(r2 >= 1 - PERFECT, F.lit(float("inf"))).when(r2 < 1, r2 / F.nullif(1 - r2, F.lit(0.0)) * (F.col("n") - 2))
+    scored = long.select("feature", score.alias("score"), (F.col("n") - 2).alias("d2"))
     return scored.select("feature", "score", f_p(F.col("score"), F.lit(1), F.col("d2")).alias("p_value"))
 
 
 def _mutual_information(cells: DataFrame) -> DataFrame:
     """Natural-log MI of (b, y) per feature from contingency counts."""
     by_f = W.partitionBy("feature")
+    cells = cells.withColumn("n", F.col("n").cast("double"))  # products of counts pass the range of a long
     n, total = F.col("n"), F.sum("n").over(by_f)
     rows, cols = F.sum("n").over(W.partitionBy("feature", "b")), F.sum("n").over(W.partitionBy("feature", "y"))
     terms = cells.select("feature", (n / total * F.log(n * total / (rows * cols))).alias("t"))

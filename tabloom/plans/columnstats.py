@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table, c, is_numeric
 from tabloom.functions.rank import ROWS_PER_RANGE, average_ranks, running_total
-from tabloom.functions.stats import unpivot
+from tabloom.functions.stats import correlation, unpivot
 
 SCHEMA = "grp string, mf string, a string, b string, value double"
 NUMERIC_ONE = {"mean": F.avg, "std": F.stddev_pop, "kurtosis": F.kurtosis, "skew": F.skewness}
@@ -88,10 +88,10 @@ def mutual_information(t: Table, pairs: list[tuple[str, str]], group: str = "Fea
 
 
 def pearson(t: Table, pairs: list[tuple[str, str]], group: str = "Features") -> DataFrame:
-    """Correlation of numeric pairs in one pass."""
+    """Correlation of numeric pairs in one pass; null where a column does not vary."""
     if not pairs:
         return _empty(t)
-    row = t.df.agg(*[F.corr(t.number(a), t.number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = t.df.agg(*[correlation(t.number(a), t.number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.frame import CLASSIFICATION, Table, c
 from tabloom.functions.linear import affine
-from tabloom.functions.stats import class_index, classes, level_counts, moments, one_row
+from tabloom.functions.stats import class_index, classes, correlation, level_counts, moments, one_row
 from tabloom.operators.base import get_operator
 from tabloom.operators.decompose import principal_axes
 from tabloom.operators.prepare import ImputeLabelEncode
@@ -193,7 +193,7 @@ def correlation_features(t: Table, coded: Table, least: int = 50) -> dict[str, f
     )
     aggs = {}
     for n in coded.features:
-        aggs[f"r:{n}"] = F.corr(coded.number(n), y)
+        aggs[f"r:{n}"] = correlation(coded.number(n), y)
         aggs[f"n:{n}"] = F.sum((coded.number(n).isNotNull() & y.isNotNull()).cast("bigint"))
     row = one_row(coded.df, aggs)
     values = []
