@@ -20,6 +20,25 @@ DIGITS = 6
 HASH_SQL = "(42 * 31 + ({key} % 2147483647) * 1103515245 + 12345) % 2147483647"
 
 
+def chained(parts: list[str], seed: int = 42) -> tuple[str, str]:
+    """Both portable hashes of key parts (integers below the modulus), as SQL."""
+    one = two = str(seed)
+    for part in parts:
+        one = f"(({one} * 31 + CAST({part} AS BIGINT) * 1103515245 + 12345) % 2147483647)"
+        two = f"(({two} * 48271 + CAST({part} AS BIGINT) * 69621 + 1) % 2147483647)"
+    return one, f"(({two} * {two} + 1) % 2147483647)"
+
+
+def wide_sql(*parts: str, seed: int = 42) -> str:
+    """The 62-bit row hash."""
+    one, two = chained(list(parts), seed)
+    return f"({one} * 2147483647 + {two})"
+
+
+def text_part(column: str) -> str:
+    return f"(CAST('0x' || substr(md5({column}), 1, 13) AS BIGINT) % 2147483647)"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn

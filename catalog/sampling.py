@@ -5,19 +5,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from catalog.registry import HASH_SQL, LINE_KEY, keys_sql, load, query, r6, rounded
+from catalog.registry import LINE_KEY, keys_sql, load, query, r6, rounded, text_part, wide_sql
 from tabloom import Table
 from tabloom.frame import CLASSIFICATION
 from tabloom.operators.cluster import balanced_assign, balanced_kmeans, kmeans_assign, kmeans_score, kmeans_transform
 from tabloom.operators.sampling import balanced_undersample, priority_weights, sample_prioritized, sample_uniform
 
 K = keys_sql()
-DRAW = HASH_SQL.format(key="range")
+DRAW = wide_sql("range")
 
 
 @query(
     "balanced_undersample",
-    f"""WITH h AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {HASH_SQL.format(key='doc_id')}, doc_id) AS rn FROM labels)
+    f"""WITH h AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {wide_sql('doc_id')}, doc_id) AS rn FROM labels)
     SELECT doc_id, quality FROM h WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))""",
 )
 def q_undersample(spark, sf):
@@ -28,7 +28,7 @@ def q_undersample(spark, sf):
 @query(
     "balanced_undersample_ranges",
     f"""WITH h AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus
-                   ORDER BY {HASH_SQL.format(key='o_orderkey')}, o_orderkey) AS rn FROM orders)
+                   ORDER BY {wide_sql('o_orderkey')}, o_orderkey) AS rn FROM orders)
     SELECT o_orderkey, o_orderstatus FROM h
     WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))""",
 )
@@ -38,6 +38,18 @@ def q_undersample_ranges(spark, sf):
     return balanced_undersample(t, rows_per_range=700).df.select("o_orderkey", "o_orderstatus")
 
 
+@query(
+    "balanced_undersample_mixed_key",
+    f"""WITH h AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY role ORDER BY {wide_sql(text_part("'host' || conv_id % 7"), 'turn', 'conv_id')}, conv_id, turn) AS rn FROM conversations)
+    SELECT conv_id, turn, role FROM h WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM conversations GROUP BY role))""",
+)
+def q_undersample_mixed(spark, sf):
+    """A key of text and integers: every column takes part in the hash."""
+    df = load(spark, sf, "conversations").withColumn("host", F.concat(F.lit("host"), (F.col("conv_id") % 7).cast("string")))
+    t = Table.of(df.drop("text"), ["host", "turn", "conv_id"], "role", [], CLASSIFICATION)
+    return balanced_undersample(t).df.select("conv_id", "turn", "role")
+
+
 @query(
     "sample_uniform",
     f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey, o_totalprice FROM orders),
@@ -57,7 +69,7 @@ PRIORITY = "floor(o_totalprice)"
     "sample_prioritized",
     f"""WITH o AS (SELECT o_orderkey, {PRIORITY} AS m, sum({PRIORITY}) OVER (ORDER BY o_orderkey) - {PRIORITY} AS start FROM orders),
     s AS (SELECT sum(m) AS t, min(m) AS least, count(*) AS n FROM o),
-    d AS (SELECT range AS draw, ({DRAW}) / 2147483647.0e0 * t AS x FROM range(2000), s)
+    d AS (SELECT range AS draw, CAST({DRAW} AS DOUBLE) / CAST(2147483647 AS DOUBLE) / CAST(2147483647 AS DOUBLE) * t AS x FROM range(2000), s)
     SELECT draw, o_orderkey, {r6('pow(m / t * n, -0.4e0) / pow(least / t * n, -0.4e0)', 'weight')}
     FROM d JOIN o ON x >= start AND x < start + m, s""",
 )

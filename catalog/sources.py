@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import HASH_SQL, load, orders, query, r6, rounded
+from catalog.registry import HASH_SQL, chained, load, orders, query, r6, rounded, text_part, wide_sql
+from tabloom import Table
 from tabloom.frame import c
 from tabloom.sources.readers import read_dataset_paths, read_table
 from tabloom.sources.sinks import only_new, pipeline_id
 from tabloom.sources.splits import kfold, sample_cap, shuffle_rows, stratified_kfold, train_test_split
 
 H = HASH_SQL.format(key="o_orderkey")
+WIDE_H = wide_sql("o_orderkey")
+MIXED = [text_part("'host' || conv_id % 7"), "turn", "conv_id"]
 
 
 @query("read_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment AS target FROM customer")
@@ -44,17 +47,38 @@ def q_read_dataset_dir(spark, sf):
     return out
 
 
-@query("shuffle_rows", f"SELECT o_orderkey, row_number() OVER (ORDER BY {H}, o_orderkey) - 1 AS position FROM orders")
+@query("shuffle_rows", f"SELECT o_orderkey, row_number() OVER (ORDER BY {WIDE_H}, o_orderkey) - 1 AS position FROM orders")
 def q_shuffle_rows(spark, sf):
     return shuffle_rows(orders(spark, sf)).select("o_orderkey", F.col("position").cast("bigint").alias("position"))
 
 
+def mixed(spark, sf) -> Table:
+    """Conversation turns under a key of text and integers, with few hosts."""
+    df = load(spark, sf, "conversations").withColumn("host", F.concat(F.lit("host"), (F.col("conv_id") % 7).cast("string")))
+    return Table.of(df.drop("text"), ["host", "turn", "conv_id"], "role", [])
+
+
+@query("split_mixed_key", f"SELECT conv_id, turn, ({chained(MIXED)[0]}) < 1717986917 AS train FROM conversations")
+def q_split_mixed(spark, sf):
+    train, test = train_test_split(mixed(spark, sf))
+    parts = [p.df.select("conv_id", "turn", F.lit(flag).alias("train")) for p, flag in ((train, True), (test, False))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "shuffle_mixed_key",
+    f"SELECT conv_id, turn, row_number() OVER (ORDER BY {wide_sql(*MIXED)}, 'host' || conv_id % 7, turn, conv_id) - 1 AS position FROM conversations",
+)
+def q_shuffle_mixed(spark, sf):
+    return shuffle_rows(mixed(spark, sf)).select("conv_id", "turn", F.col("position").cast("bigint").alias("position"))
+
+
 @query(
     "sample_cap",
-    f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY {H}, o_orderkey LIMIT 1500",
+    f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY {WIDE_H}, o_orderkey LIMIT 1500",
 )
 def q_sample_cap(spark, sf):
-    return sample_cap(orders(spark, sf)).df.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return sample_cap(orders(spark, sf), 1500).df.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query(

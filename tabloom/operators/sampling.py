@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table, c
-from tabloom.functions.keys import MODULUS, row_hash
+from tabloom.functions.keys import WIDE, wide_hash
 from tabloom.functions.rank import ROWS_PER_RANGE, running_total
 from tabloom.functions.stats import one_row
-from tabloom.sources.splits import hash_of
+from tabloom.sources.splits import order_of
 
 
 def balanced_undersample(t: Table, seed: int = 42, rows_per_range: int = ROWS_PER_RANGE) -> Table:
@@ -19,7 +19,7 @@ def balanced_undersample(t: Table, seed: int = 42, rows_per_range: int = ROWS_PE
     """
     sizes = t.df.groupBy(c(t.label)).agg(F.count("*").alias("n"))
     least = sizes.agg(F.min("n")).first()[0] or 0
-    hashed = t.df.withColumn("__h", hash_of(t, seed))
+    hashed = t.df.withColumn("__h", order_of(t, seed))
     placed = running_total(
         hashed, ["__h", *t.key], [t.label], out="__b", stop_at=int(least), rows_per_range=rows_per_range
     )
@@ -27,8 +27,9 @@ def balanced_undersample(t: Table, seed: int = 42, rows_per_range: int = ROWS_PE
 
 
 def draws(spark, n: int, seed: int = 42) -> DataFrame:
-    """(draw, h): n portable pseudo-random integers in [0, MODULUS), made where they are used."""
-    return spark.range(n).select(F.col("id").alias("draw")).withColumn("h", row_hash(["draw"], seed))
+    """(draw, h): n portable pseudo-random integers in [0, WIDE), made where they are used."""
+    numbers = spark.range(n).select(F.col("id").alias("draw"))
+    return numbers.withColumn("h", wide_hash(numbers, ["draw"], seed))
 
 
 def sample_uniform(t: Table, n: int, seed: int = 42) -> DataFrame:
@@ -73,7 +74,7 @@ def sample_prioritized(
     spans = placed.withColumn("__end", end).withColumn(
         "__slot", F.explode(F.sequence(slot(F.col("__from")), slot(end)))
     )
-    picks = draws(t.df.sparkSession, n, seed).select("draw", (F.col("h") / MODULUS * s["t"]).alias("__x"))
+    picks = draws(t.df.sparkSession, n, seed).select("draw", (F.col("h") / float(WIDE) * s["t"]).alias("__x"))
     picks = picks.withColumn("__slot", slot(F.col("__x")))
     hit = (F.col("__x") >= F.col("__from")) & (F.col("__x") < F.col("__end"))
     weight = importance_weight(F.col("__q"), s["t"], s["a"], s["n"], alpha, beta)

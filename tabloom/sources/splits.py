@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table, c
-from tabloom.functions.keys import MODULUS, keyed_hash
+from tabloom.functions.keys import MODULUS, keyed_hash, wide_hash
 from tabloom.functions.rank import running_total
 
 
@@ -13,15 +13,20 @@ def hash_of(t: Table, seed: int = 42) -> Column:
     return keyed_hash(t.df, t.key, seed)
 
 
+def order_of(t: Table, seed: int = 42) -> Column:
+    """The wide hash that permutations and samples are ordered by."""
+    return wide_hash(t.df, t.key, seed)
+
+
 def shuffle_rows(t: Table, seed: int = 42) -> DataFrame:
     """The table with ``position``: its 0-based place in a seeded permutation."""
-    hashed = t.df.withColumn("__h", hash_of(t, seed))
+    hashed = t.df.withColumn("__h", order_of(t, seed))
     return running_total(hashed, ["__h", *t.key], out="position").drop("__h")
 
 
-def sample_cap(t: Table, n: int = 1500, seed: int = 42) -> Table:
+def sample_cap(t: Table, n: int, seed: int = 42) -> Table:
     """The first ``n`` rows of the permutation (a top-n, not a full sort)."""
-    hashed = t.df.withColumn("__h", hash_of(t, seed))
+    hashed = t.df.withColumn("__h", order_of(t, seed))
     return t.with_df(hashed.orderBy("__h", *[c(k) for k in t.key]).limit(n).drop("__h"))
 
 

@@ -82,3 +82,17 @@ def test_one_point_repeated_still_fills_groups_evenly(spark):
     t = table(spark, [(i, 1.0) for i in range(90)], "id int, a double")
     out = balanced_assign(t, np.array([[1.0], [5.0], [9.0]])).toPandas()
     assert out["cluster"].value_counts().tolist() == [30, 30, 30]
+
+
+def test_wide_hash_takes_in_every_key_column_and_reaches_past_2_to_33(spark):
+    from pyspark.sql import functions as F
+    from tabloom.functions.keys import WIDE, wide_hash
+    from tabloom.operators.sampling import draws
+
+    df = spark.range(10_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), (F.col("id") % 3).cast("int").alias("turn"))
+    assert df.select(wide_hash(df, ["host", "turn"]).alias("h")).distinct().count() == 10_000
+    far = spark.range(10).select((F.col("id") * 2147483647 + 5).alias("k"))
+    assert far.select(wide_hash(far, ["k"])).distinct().count() == 10
+    rows = 1 << 33
+    places = [r.p for r in draws(spark, 4000).select(F.pmod("h", F.lit(rows)).alias("p")).collect()]
+    assert WIDE > rows and sum(p > rows // 2 for p in places) > 1500 and max(places) > 0.99 * rows
