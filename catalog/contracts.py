@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import gappy_lines, lines, load, query
-from tabloom.frame import CLASSIFICATION, REGRESSION, Table
-from tabloom.plans.contracts import accepts, needed, profile_table
+from catalog.registry import GAPS, LINE_NUMBERS, load, query
+from tabloom.frame import CLASSIFICATION, REGRESSION
+from tabloom.plans.contracts import Case, accepts, needed, profile_cases
 
 # What each case is made of, in SQL over the same tables: one row per case with
 # rows, columns, text columns, missing cells, negative cells, fewest distinct values.
@@ -36,34 +36,35 @@ WITH facts AS (
 """
 
 
-def cases(spark, sf) -> dict[str, Table]:
-    two = ["l_quantity", "l_discount"]
-    base = lines(spark, sf)
-    predictions = load(spark, sf, "lineitem").selectExpr(
-        "l_orderkey", "l_returnflag", "l_discount AS A_onePred", "l_tax AS R_onePred"
-    )
-    return {
-        "numbers": base,
-        "binnable": lines(spark, sf, two),
-        "gaps": gappy_lines(spark, sf, ["qty", "tax"], "l_returnflag"),
-        "texts": Table.of(load(spark, sf, "lineitem"), "l_orderkey", None, ["l_linestatus", "l_returnflag"], CLASSIFICATION),
-        "mixed_gaps": gappy_lines(spark, sf, ["qty", "status"], "l_returnflag"),
-        "negatives": Table.of(load(spark, sf, "customer"), "c_custkey", "c_mktsegment", ["c_acctbal"], CLASSIFICATION),
-        "regression": lines(spark, sf, two, "l_extendedprice", REGRESSION),
-        "predictions": Table.of(predictions, "l_orderkey", "l_returnflag", task=CLASSIFICATION),
-        "empty": lines(spark, sf, two).where(F.col("l_quantity") < 0),
-    }
+def _case_args(*features: str, **named: str) -> tuple[tuple, dict]:
+    """Expressions are made when a session is there."""
+    return features, named
+
 
+def _case(*features: str, task: str = CLASSIFICATION, where: str | None = None, **named: str) -> Case:
+    columns = {n: F.expr(n) for n in features} | {n: F.expr(e) for n, e in named.items()}
+    return Case(columns, task, None if where is None else F.expr(where))
 
-_PROFILES: dict = {}
+
+LINE_CASES = {
+    "numbers": _case_args(*LINE_NUMBERS),
+    "binnable": _case_args("l_quantity", "l_discount"),
+    "gaps": _case_args(qty=GAPS["qty"], tax=GAPS["tax"]),
+    "texts": _case_args("l_linestatus", "l_returnflag"),
+    "mixed_gaps": _case_args(qty=GAPS["qty"], status=GAPS["status"]),
+    "regression": _case_args("l_quantity", "l_discount", task=REGRESSION),
+    "predictions": _case_args(A_onePred="l_discount", R_onePred="l_tax"),
+    "empty": _case_args("l_quantity", "l_discount", where="l_quantity < 0"),
+}
+CUSTOMER_CASES = {"negatives": _case_args("c_acctbal")}
 
 
 def profiles(spark, sf) -> dict:
-    """One profile per case answers every rule."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _PROFILES:
-        _PROFILES[at] = {n: profile_table(t) for n, t in cases(spark, sf).items()}
-    return _PROFILES[at]
+    """The profiles of all cases, from one aggregate over each of the two tables."""
+    found = {}
+    for name, asked in (("lineitem", LINE_CASES), ("customer", CUSTOMER_CASES)):
+        found |= profile_cases(load(spark, sf, name), {k: _case(*a, **b) for k, (a, b) in asked.items()})
+    return found
 
 
 CLEAN = "n > 0 AND texts = 0 AND gaps = 0"

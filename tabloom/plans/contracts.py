@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabloom.frame import CLASSIFICATION, REGRESSION, Table, c
+from tabloom.frame import CLASSIFICATION, REGRESSION, Table, c, is_numeric, number
 from tabloom.functions.stats import one_row, unpivot
 
 BIN_LEVELS = 10
@@ -33,30 +33,52 @@ class Profile:
 EXACT_BELOW = 100
 
 
-def profile_table(t: Table) -> Profile:
-    numeric = set(t.numeric)
-    aggs: dict[str, Column] = {"rows": F.count("*")}
-    for n in t.features:
-        value = t.number(n) if n in numeric else c(n)
-        aggs[f"m:{n}"] = F.sum(value.isNull().cast("bigint"))
-        aggs[f"d:{n}"] = F.approx_count_distinct(value)
-        if n in numeric:
-            aggs[f"i:{n}"] = F.sum((F.abs(value) == F.lit(float("inf"))).cast("bigint"))
-            aggs[f"g:{n}"] = F.sum((value < 0).cast("bigint"))
-    row = one_row(t.df, aggs)
-    few = [n for n in t.features if row[f"d:{n}"] < EXACT_BELOW]
+@dataclass(frozen=True)
+class Case:
+    """Some columns of a frame as a table of their own: features, task and the rows that count."""
+
+    features: dict[str, Column]
+    task: str | None = None
+    where: Column | None = None
+
+
+def profile_cases(df: DataFrame, cases: dict[str, Case]) -> dict[str, Profile]:
+    """Profiles of several column sets of one frame: one aggregate, and one count of few-valued columns."""
+    cells = {(k, n): x for k, case in cases.items() for n, x in case.features.items()}
+    flags = {k: F.lit(True) if case.where is None else F.coalesce(case.where, F.lit(False)) for k, case in cases.items()}
+    names = {at: f"x{i}" for i, at in enumerate(cells)}
+    inside = {k: f"w{i}" for i, k in enumerate(cases)}
+    rows = df.select(*[x.alias(names[at]) for at, x in cells.items()], *[f.alias(inside[k]) for k, f in flags.items()])
+    numeric = {at for at in cells if is_numeric(rows.schema[names[at]].dataType)}
+    value = {
+        at: F.when(c(inside[at[0]]), number(names[at], rows.schema[names[at]].dataType) if at in numeric else c(names[at])) for at in cells
+    }
+    aggs: dict = {("rows", k): F.sum(c(inside[k]).cast("bigint")) for k in cases}
+    for at in cells:
+        aggs["m", at] = F.sum((c(inside[at[0]]) & value[at].isNull()).cast("bigint"))
+        aggs["d", at] = F.approx_count_distinct(value[at])
+        if at in numeric:
+            aggs["i", at] = F.sum((F.abs(value[at]) == F.lit(float("inf"))).cast("bigint"))
+            aggs["g", at] = F.sum((value[at] < 0).cast("bigint"))
+    row = one_row(rows, aggs)
+    few = [at for at in cells if row["d", at] < EXACT_BELOW]
     exact = {}
     if few:  # under a few hundred pairs per column survive the partial distinct
-        pairs = unpivot(t.df, {n: c(n).cast("string") for n in few}).where("value is not null").distinct()
-        exact = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+        pairs = unpivot(rows, {names[at]: value[at].cast("string") for at in few}).where("value is not null").distinct()
+        found = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+        exact = {at: found.get(names[at], 0) for at in few}
+    out = {}
+    for k, case in cases.items():
+        own = tuple(case.features)
+        counts = {code: {n: int(row.get((code, (k, n))) or 0) for n in own} for code in "mig"}
+        distinct = {n: exact.get((k, n), row["d", (k, n)]) for n in own}
+        kept = tuple(n for n in own if (k, n) in numeric)
+        out[k] = Profile(int(row["rows", k] or 0), own, kept, case.task, counts["m"], counts["i"], counts["g"], distinct)
+    return out
 
-    def counts(code: str) -> dict[str, int]:
-        return {n: int(row.get(f"{code}:{n}") or 0) for n in t.features}
 
-    distinct = {n: exact.get(n, 0) if n in few else row[f"d:{n}"] for n in t.features}
-    return Profile(
-        row["rows"], t.features, tuple(t.numeric), t.task, counts("m"), counts("i"), counts("g"), distinct
-    )
+def profile_table(t: Table) -> Profile:
+    return profile_cases(t.df, {"table": Case({n: c(n) for n in t.features}, t.task)})["table"]
 
 
 def _non_empty(p: Profile) -> bool:
