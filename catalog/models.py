@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from catalog.registry import load, query, result
 from tabloom import Table, get_operator
-from tabloom.frame import CLASSIFICATION, REGRESSION
+from tabloom.frame import CLASSIFICATION, REGRESSION, c
 
 # Whole texts reduced to counts.
 TEXT_COUNTS = {
@@ -18,6 +18,7 @@ TEXT_COUNTS = {
 
 
 def texts(spark, sf, label="toxic", drop=(), task=CLASSIFICATION) -> Table:
+    """Labelled documents only: for fits whose result is about the columns, not about rows."""
     df = load(spark, sf, "documents", wide=True).join(load(spark, sf, "labels"), "doc_id")
     names = [n for n in TEXT_COUNTS if n not in drop and n != label]
     target = f"{TEXT_COUNTS[label]} AS {label}" if label in TEXT_COUNTS else label
@@ -25,6 +26,23 @@ def texts(spark, sf, label="toxic", drop=(), task=CLASSIFICATION) -> Table:
     return Table.of(df.selectExpr("doc_id", target, *cells), "doc_id", label, names, task)
 
 
+def every_text(spark, sf, label="toxic", task=CLASSIFICATION) -> Table:
+    """All documents; the label is null where there is none."""
+    df = load(spark, sf, "documents", wide=True).join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    names = [n for n in TEXT_COUNTS if n not in ("quality", label)]
+    target = f"{TEXT_COUNTS[label]} AS {label}" if label in TEXT_COUNTS else label
+    return Table.of(df.selectExpr("doc_id", target, *[f"{TEXT_COUNTS[n]} AS {n}" for n in names]), "doc_id", label, names, task)
+
+
+def labelled(t: Table) -> Table:
+    return t.where(c(t.label).isNotNull())
+
+
+def fit_and_score(op: str, t: Table) -> Table:
+    """Fitted on the labelled rows, applied to every row."""
+    return get_operator(op).fit(labelled(t)).transform(t)
+
+
 CLASSIFIERS = (
     "clf_random_forest clf_adaboost clf_bagging clf_decision_tree clf_extra_trees clf_gradient_boosting "
     "clf_linear_svc clf_logistic_regression clf_logistic_regression_cv clf_passive_aggressive clf_sgd_log "
@@ -33,23 +51,23 @@ CLASSIFIERS = (
 for _name in CLASSIFIERS:
 
     def _classify(spark, sf, op=_name):
-        return result(get_operator(op).fit_transform(texts(spark, sf)))
+        return result(fit_and_score(op, every_text(spark, sf)))
 
     query(_name)(_classify)
 
 for _name in ("reg_ard", "reg_adaboost", "reg_bagging"):
 
     def _regress(spark, sf, op=_name):
-        return result(get_operator(op).fit_transform(texts(spark, sf, "words", task=REGRESSION)))
+        return result(fit_and_score(op, every_text(spark, sf, "words", REGRESSION)))
 
     query(_name)(_regress)
 
 
 def predictions(spark, sf) -> Table:
     """Probability columns of two learners side by side."""
-    t = texts(spark, sf)
-    one = get_operator("clf_gaussian_nb").fit_transform(t)
-    both = get_operator("clf_lda").fit(t).transform(
+    t = every_text(spark, sf)
+    one = fit_and_score("clf_gaussian_nb", t)
+    both = get_operator("clf_lda").fit(labelled(t)).transform(
         Table(t.df.join(one.df.drop("toxic", "prediction"), "doc_id"), t.key, t.label, t.features, t.task, None, one.features)
     )
     names = [*one.features, *both.features]
@@ -59,15 +77,15 @@ def predictions(spark, sf) -> Table:
 for _name in ("ens_random_forest", "ens_adaboost", "ens_extra_trees", "ens_gradient_boosting", "ens_xgb"):
 
     def _stack(spark, sf, op=_name):
-        return result(get_operator(op).fit_transform(predictions(spark, sf)))
+        return result(fit_and_score(op, predictions(spark, sf)))
 
     query(_name)(_stack)
 
 
 @query("ens_random_forest_regressor")
 def q_stack_regressor(spark, sf):
-    t = texts(spark, sf, "words", task=REGRESSION)
-    one = get_operator("reg_ard").fit_transform(t)
+    t = every_text(spark, sf, "words", REGRESSION)
+    one = fit_and_score("reg_ard", t)
     stacked = Table(one.df, t.key, "words", one.features, REGRESSION)
     return result(get_operator("ens_random_forest_regressor").fit_transform(stacked))
 
@@ -80,6 +98,7 @@ for _name, _label, _task in (
 ):
 
     def _eliminate(spark, sf, op=_name, label=_label, task=_task):
+        """The labelled rows are the input: elimination chooses columns by them."""
         return result(get_operator(op).fit_transform(texts(spark, sf, label, task=task)))
 
     query(_name)(_eliminate)

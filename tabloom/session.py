@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; set one only on a local master.
 
     ``spark.checkpoint.dir`` is read from the session. Where it is unset and
-    the master is local (tests), a scratch folder is used; on a cluster an
-    unset folder is an error, since a machine-local one is lost with its host.
+    the master is local (tests), a scratch folder is used, which goes when the
+    program ends; on a cluster an unset folder is an error, since a machine-local
+    one is lost with its host.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
@@ -39,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not shared:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tabloom-ckpt-", dir=os.environ.get("TMPDIR"))
+        shared = tempfile.mkdtemp(prefix="tabloom-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
 
 
@@ -47,3 +52,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession, names: tuple[str, ...] = ("tabloom", "catalog")) -> None:
+    """Send the library's sources to the workers, once per application.
+
+    Functions in pandas and Arrow passes refer to its modules, so workers need
+    them, wherever the program was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tabloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"tabloom-{context.applicationId}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for name in names:
+            for at, _, files in os.walk(os.path.join(root, name)):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(at, file)
+                        out.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+
+
+_SHIPPED: set[str] = set()

@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tabloom.frame import CLASSIFICATION, Table
 
 
-def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV (header row; types inferred unless a schema is given) or Parquet by extension."""
+def read_frame(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
+) -> DataFrame:
+    """CSV (header row) or Parquet by extension.
+
+    Without a schema the types of a CSV are inferred, which reads it twice; give one
+    for large files. ``multiline`` allows line feeds inside quotes and then reads a file
+    in one task; without it files are split.
+    """
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
         return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return spark.read.parquet(path)
 
@@ -26,9 +33,10 @@ def read_table(
     features: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     task: str = CLASSIFICATION,
+    multiline: bool = False,
 ) -> Table:
     """A table with roles; without ``label`` the last column is the target."""
-    df = read_frame(spark, path, schema)
+    df = read_frame(spark, path, schema, multiline)
     return Table.of(df, key, label or df.columns[-1], features, task)
 
 
@@ -50,10 +58,9 @@ def read_dataset_dir(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a frame read from few file splits one task per core.
+    """Give a frame that is read as one file split, and so is small, one task per core.
 
-    Meant for scans that feed heavy per-row work; a scan that already has
-    enough splits, as on a cluster, is left alone.
+    Meant for scans that feed heavy per-row work. A scan of several splits is left
+    alone; ``spark.sql.files.maxPartitionBytes`` sets their size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df

@@ -11,7 +11,7 @@ from tabloom.streaming.pca import IncrementalPca
 def test_csv_with_awkward_header(spark, tmp_path):
     path = tmp_path / "wine.small.csv"
     path.write_text('id,"a b",c/d,"two\nlines",class\n1,1.5,x,7,FALSE\n2,,y,8,TRUE\n')
-    t = read_table(spark, str(path), "id")
+    t = read_table(spark, str(path), "id", multiline=True)
     assert t.label == "class" and t.features == ("a b", "c/d", "two\nlines")
     assert t.numeric == ["a b", "two\nlines"] and t.df.count() == 2
     assert dataset_name(str(path)) == "wine"
@@ -84,3 +84,31 @@ def test_incremental_components_equal_batch_ones(spark, sf, tmp_path):
     m, variance, axes = sink.axes(spark)
     state = get_operator("pca_full").fit(t).state
     assert m.n == t.df.count() and np.allclose(axes, state["axes"]) and np.allclose(variance, state["variance"])
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("id,v\n" + "".join(f"{i},{i}\n" for i in range(200_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        assert read_table(spark, str(path), "id").df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from tabloom.session import local_session\n"
+        "spark = local_session('2', memory='1g')\n"
+        "print('ROWS', e.queries()['score_f_classif'](spark, '/root/testdata/sf0.001').count())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert "ROWS 64" in done.stdout, done.stderr[-2000:]
