@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabloom.frame import c
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
+# So few rows are one range, which is one task; more are cut into at least one per shuffle partition.
+ONE_RANGE = 4096
 SAMPLED_PER_RANGE = 64
 EXACT_DISTINCT = 1_000_000
 # ``percentile`` walks all distinct values once per probability.
@@ -110,7 +111,9 @@ def running_total(
     """
     w = c(weight) if weight else F.lit(1).cast("bigint")
     rows = df.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = math.ceil(rows / rows_per_range)
+    if rows > ONE_RANGE:
+        ranges = max(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = range_edges(df, order, ranges, rows)
     ordered = W.partitionBy(*[c(g) for g in group], F.col(_B)).orderBy(*[c(o) for o in order])
     ranged = df.withColumn(_B, range_by_order(order, edges).cast("int"))
@@ -177,7 +180,7 @@ def _selected(data: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
     counts = data.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n")).persist()
     try:
         distinct = counts.count()
-        edges = range_edges(counts, ["v"], min(MAX_RANGES, max(2, math.ceil(distinct / ROWS_PER_RANGE))), distinct)
+        edges = range_edges(counts, ["v"], max(2, math.ceil(distinct / ROWS_PER_RANGE)), distinct)
         ranged = counts.withColumn(_B, range_by_order(["v"], edges).cast("int"))
         totals = sorted((r[_B], r["t"]) for r in ranged.groupBy(_B).agg(F.sum("n").alias("t")).collect())
         offset, needed = 0, {}
@@ -193,7 +196,7 @@ def _selected(data: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
         width = max(1, n // len(ranks))
         wanted = data.sparkSession.createDataFrame([(r, r // width) for r in ranks], "r bigint, stretch bigint")
         spans = (
-            ranged.join(F.broadcast(starts), _B)  # at most MAX_RANGES rows
+            ranged.join(F.broadcast(starts), _B)  # a row per range of a million values
             .select("v", (F.col(_O) + before).alias("lo"), "n")
         )
         last = F.col("lo") + F.col("n") - 1

@@ -72,9 +72,12 @@ def baseline_specs(learners: Sequence[str] = BASELINE_LEARNERS) -> dict[str, Pip
 
 
 def baseline_leaderboard(t: Table, dataset: str, metric: str = "accuracy", learners=BASELINE_LEARNERS, **options) -> DataFrame:
-    """Scores of the baseline learners; only positive ones count."""
+    """Scores of the baseline learners; of those that ran, only positive ones count.
+
+    A learner that failed keeps its row, with status and message and no score.
+    """
     return score_pipelines(t, baseline_specs(learners), dataset, metric, **options).where(
-        (F.col("status") == "ok") & (F.col("score") > 0)
+        (F.col("status") != "ok") | (F.col("score") > 0)
     )
 
 
@@ -82,9 +85,9 @@ def score_vs_baselines(runs: DataFrame, baselines: DataFrame) -> DataFrame:
     """Per run: the share of its dataset's baseline scores it reaches.
 
     A dataset has one baseline score per learner, so its scores travel as one
-    short array and no run-baseline pairs are formed.
+    short array and no run-baseline pairs are formed. Learners without a score do not count.
     """
-    base = baselines.groupBy("dataset").agg(F.collect_list("score").alias("base"))
+    base = baselines.where(F.col("score").isNotNull()).groupBy("dataset").agg(F.collect_list("score").alias("base"))
     reached = F.size(F.filter("base", lambda b: b <= F.col("score"))) / F.size("base")
     return runs.join(base, "dataset").select("dataset", "run", "score", reached.alias("reward"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -73,6 +74,10 @@ def fold_scores(t: Table, fit: Callable[[Table], object], metric: str, k: int =
 
 
 def cross_validate(t: Table, fit: Callable[[Table], object], metric: str, k: int = 5) -> float | None:
-    """Mean score over the folds that could be scored."""
-    scores = [r["score"] for r in fold_scores(t, fit, metric, k) if r["score"] is not None]
+    """Mean score over the folds that could be scored; a warning names those that could not."""
+    rows = fold_scores(t, fit, metric, k)
+    scores = [r["score"] for r in rows if r["score"] is not None]
+    if len(scores) < k:
+        lost = [f"{r['fold']}: {r['message'] or 'no score'}" for r in rows if r["score"] is None]
+        warnings.warn(f"mean over {len(scores)} of {k} folds; without {'; '.join(lost)}", stacklevel=2)
     return sum(scores) / len(scores) if scores else None

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, functions as F
 
 from tabloom.frame import CLASSIFICATION, Table, c
@@ -219,7 +220,7 @@ def landmark(name: str, scaled: Table, folds: int = 2) -> float:
             fitted = get_operator(op, **params).fit(part.where(F.col("fold") != i))
             total += evaluate("accuracy", fitted.transform(part.where(F.col("fold") == i)))
         return total / folds
-    except Exception:  # noqa: BLE001 - an unfit learner is a missing landmark
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException):  # it cannot be fitted
         return float("nan")
     finally:
         rows.unpersist()

@@ -23,3 +23,9 @@ def test_no_global_sort_of_rows(spark, sf):
     for name in ("kfold_split", "train_test_split", "clf_gaussian_nb", "pipeline_graph", "kmeans_assign"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_raw_rows_are_ranked_range_by_range(spark):
+    for name in ("kfold_split", "shuffle_rows", "stratified_kfold_split"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(" in plan and "__range" in plan, name
