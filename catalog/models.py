@@ -102,3 +102,36 @@ for _name, _label, _task in (
         return result(get_operator(op).fit_transform(texts(spark, sf, label, task=task)))
 
     query(_name)(_eliminate)
+
+
+# A class that one few-valued column decides: every learner must find it, row by row.
+RECOVERED = "CAST(n_chars % 7 > 3 AS INT)"
+
+
+def decided(spark, sf) -> Table:
+    """Two thirds of the documents carry the class; the others are to be told."""
+    rows = load(spark, sf, "documents").selectExpr(
+        "doc_id", f"CASE WHEN doc_id % 3 <> 0 THEN {RECOVERED} END AS y", "CAST(n_chars % 7 AS DOUBLE) AS a", "CAST(doc_id % 5 AS DOUBLE) AS b"
+    )
+    return Table.of(rows, "doc_id", "y", ["a", "b"], CLASSIFICATION)
+
+
+for _name in CLASSIFIERS:
+
+    def _recover(spark, sf, op=_name):
+        return fit_and_score(op, decided(spark, sf)).df.selectExpr("doc_id", "CAST(prediction AS INT) AS prediction")
+
+    query(f"recovers_{_name}", f"SELECT doc_id, {RECOVERED} AS prediction FROM documents")(_recover)
+
+
+# A target that follows the same column: 2 a + 1.
+for _name in ("reg_ard", "reg_adaboost", "reg_bagging"):
+
+    def _recover_target(spark, sf, op=_name):
+        rows = load(spark, sf, "documents").selectExpr(
+            "doc_id", "CASE WHEN doc_id % 3 <> 0 THEN CAST(n_chars % 7 AS DOUBLE) * 2 + 1 END AS y", "CAST(n_chars % 7 AS DOUBLE) AS a", "CAST(doc_id % 5 AS DOUBLE) AS b"
+        )
+        done = fit_and_score(op, Table.of(rows, "doc_id", "y", ["a", "b"], REGRESSION))
+        return done.df.selectExpr("doc_id", f"round(`{done.prediction}`, 2) + 0.0 AS prediction")
+
+    query(f"recovers_{_name}", "SELECT doc_id, CAST(n_chars % 7 AS DOUBLE) * 2 + 1 AS prediction FROM documents")(_recover_target)
