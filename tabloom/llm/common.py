@@ -41,8 +41,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def no_rows(df: DataFrame) -> bool:
-    return not df.take(1)
+#: Bytes that an Arrow batch of texts to a Python worker holds, about.
+BATCH_BYTES = 8_000_000
+
+
+def texts_of(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of ``docs`` on their way to Python workers, in batches bounded by bytes as texts differ much in length."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs.select(*columns)
 
 
 def bases(parts: DataFrame, part: str, amount: str) -> DataFrame:
@@ -68,7 +74,7 @@ def range_edges(df: DataFrame, column: str, count: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``most`` bytes; one long text is a part of its own."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import bases, binaries, partitions, read, slices, stage
+from tabloom.llm.common import bases, binaries, partitions, read, slices, stage, texts_of
 from tabloom.llm.tokens import END_ID, encoder, vocabulary
 
 LENGTH = 4096
@@ -88,7 +88,7 @@ def tokens_with_key(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     ["doc_id", "hilbert_key", "doc_tokens", "ids"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, hilbert_key long, doc_tokens long, ids binary")
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import BLANK, read, slices
+from tabloom.llm.common import BLANK, read, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -342,7 +342,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 columns = [batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array(map(told, every), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import read, slices
+from tabloom.llm.common import read, slices, texts_of
 
 #: Labelled rows that a fit takes at most, the first by a hash; every fifth of them sets the scale of the score.
 SAMPLE = 12_000
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("known_id")).agg(F.max("label").cast("int").alias("label"))
     first = known.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("known_id").cast("string"))), "known_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("known_id")).select("doc_id", "label", "text")
+    rows = texts_of(docs, "doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("known_id")).select("doc_id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 scores = shared.value.scores(feature_sets(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
-    scored = docs.select(*own).mapInArrow(run, f"{kinds}, score double")
+    scored = texts_of(docs, *own).mapInArrow(run, f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import bases, binaries, partitions, range_edges, read, shared_folder, slices
+from tabloom.llm.common import bases, binaries, partitions, range_edges, read, shared_folder, slices, texts_of
 from tabloom.llm.tokens import END_ID, encoder, vocabulary
 from tabloom.llm.wavelet import WaveletMatrix
 
@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, edges: list[int]) -> D
                     [pa.array(part), doc, pa.array(counts), binaries(ids, counts)], ["part", "doc_id", "n_tokens", "ids"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "part int, doc_id long, n_tokens long, ids binary")
 
 

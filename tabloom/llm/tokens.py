@@ -21,7 +21,7 @@ from tabloom.llm.common import spread
 
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Words that the library gets in one string, with the separator between them.
 TOGETHER = 3000
 #: Words of small Latin letters: no normal form, lower case or split changes them.
