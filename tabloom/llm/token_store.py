@@ -17,6 +17,8 @@ from tabloom.llm.wavelet import WaveletMatrix
 SHARD_IDS = 1 << 20
 #: Range parts per shuffle partition, so that hashed parts fill partitions evenly.
 FINER = 4
+#: Encoding is nearly all the work here, so workers may remember more words and take larger slices of text.
+MEMO, SLICE = 1_000_000, 8_000_000
 
 SHARDS = "part int, shard int, first_in_part long, n_tokens long, n_docs long, content binary"
 
@@ -26,9 +28,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, edges: list[int]) -> D
     cuts = np.array(edges, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, MEMO)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 ids, counts = encode(batch.column("text"), end_id)
                 doc = batch.column("doc_id")
                 known = doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)

@@ -37,14 +37,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """The worker's encoder for a file; workers are reused, so the memo serves several tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = memo
     return _encoders[path]
 
 
 class Encoder:
+    most = MEMO
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -104,7 +107,7 @@ class Encoder:
         return np.concatenate([flat, *(np.array(x, dtype=self.dtype) for x in alone)]), starts, lengths
 
     def _remembered(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.memo) + len(words) > self.most:
             self._forget()
         memo = self.memo
         new = [w for w in words if w not in memo]
