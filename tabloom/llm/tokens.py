@@ -4,7 +4,8 @@ A tokenizer that drops white space and never joins across it gives a text the
 ids of its words, one after another. So each distinct word of a batch is encoded
 once, words are looked up, and the ids are gathered; words met before by the same
 Python worker come from a bounded memo. Words with combining marks, NUL or the
-opening of a control token are encoded as they are, without the shortcuts below.
+opening of a control token are encoded as they are, without the shortcuts below;
+so are words where an ASCII mark follows a letter that the normalizer takes apart.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ TOGETHER = 3000
 #: Words of small Latin letters: no normal form, lower case or split changes them.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SEPARATOR = "\x00"
+#: ASCII signs before which words are cut, for a character class.
+MARKS = r"!-@\[-`{-~"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -45,6 +48,18 @@ def encoder(path: str, memo: int = MEMO) -> Encoder:
     return _encoders[path]
 
 
+def taken_apart(normalizer) -> str:
+    """All letters whose normal form holds more than letters, as the Turkish dotted I and letters with a nukta."""
+    if normalizer is None:
+        return ""
+    known = pa.array([chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000])
+    known = known.filter(pc.match_substring_regex(known, r"^\p{L}$"))
+    forms = pa.array(normalizer.normalize_str(" ".join(known.to_pylist())).split(" "))
+    if len(forms) != len(known):
+        forms = pa.array([normalizer.normalize_str(x) for x in known.to_pylist()])
+    return "".join(known.filter(pc.invert(pc.match_substring_regex(forms, r"^\p{L}+$"))).to_pylist())
+
+
 class Encoder:
     most = MEMO
 
@@ -59,6 +74,8 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        apart = taken_apart(self.library.normalizer)
+        self.odd = r"[\p{M}\x00]|<\|" + (f"|[{apart}][{MARKS}]" if apart else "")
         self._forget()
 
     def _forget(self) -> None:
@@ -85,11 +102,11 @@ class Encoder:
         return out, counts + 1
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(words, r"[\p{M}\x00]|<\|").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(words, self.odd).to_numpy(zero_copy_only=False)
         plain = words.filter(pa.array(~odd)) if odd.any() else words
-        # a letter and an ASCII mark after it never share a token; letters of either case do
+        # a letter that stays letters and an ASCII mark after it never share a token; letters of either case do
         parts = pc.ascii_split_whitespace(
-            pc.replace_substring_regex(pc.ascii_lower(plain), r"(\p{L})([!-@\[-`{-~])", r"\1 \2")
+            pc.replace_substring_regex(pc.ascii_lower(plain), rf"(\p{{L}})([{MARKS}])", r"\1 \2")
         )
         coded = parts.flatten().dictionary_encode()
         which = self._remembered(coded.dictionary.to_pylist())[coded.indices.to_numpy()]

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,6 +39,17 @@ def test_words_encode_as_whole_texts(spark, sf):
     assert [flat[e - c : e].tolist() for e, c in zip(ends, counts)] == ids_of(texts)
 
 
+def test_every_letter_before_every_mark():
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()]
+    encode = encoder(vocabulary())
+    # one word per letter and mark, all in one text per mark; before these came 60 letters with other ids
+    texts = [" ".join(f"a{x}{m}" for x in letters) for m in marks] + ["ALİ.", "İ1!", "क़|", "ΑΣ'Α"]
+    for text in texts:
+        assert encode(pa.array([text]), None)[0].tolist() == encode.library.encode(text, add_special_tokens=False).ids, text[-1]
+    assert encode.library.encode("ALİ.", add_special_tokens=False).ids == [3558, 136, 229, 269]
+
+
 def test_every_document_comes_back(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in op10_token_store(spark, sf).orderBy("start").collect()]
