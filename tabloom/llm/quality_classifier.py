@@ -155,13 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     The rows are the first by a hash of doc_id, so any size of table gives a like
     sample. Other labels and nulls are left out; a doc_id with several labels
-    counts as 1 if one of them is. The bounded list of labels is broadcast, so no
-    text is shuffled; features are made where texts are read, the fit is one task.
+    counts as 1 if one of them is, and one with several texts gives the smallest.
+    The bounded list of labels is broadcast, and only the texts that it names are
+    shuffled, one per doc_id. Texts are read and features made in many tasks; one
+    task fits on the at most ``sample`` rows of features.
     """
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("known_id")).agg(F.max("label").cast("int").alias("label"))
     first = known.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("known_id").cast("string"))), "known_id").limit(sample)
-    rows = texts_of(docs, "doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("known_id")).select("doc_id", "label", "text")
+    rows = texts_of(docs, "doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("known_id"))
+    # repeats are combined before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         row = [model.ratios.astype("<f8").tobytes(), model.weights.astype("<f8").tobytes(), model.bias, model.slope, model.shift]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["ratios", "weights", "bias", "slope", "shift"])
 
-    made = rows.mapInArrow(features, "doc_id long, label int, features binary").coalesce(1)
+    made = rows.mapInArrow(features, "doc_id long, label int, features binary").repartition(1)
     found = made.mapInArrow(train, "ratios binary, weights binary, bias double, slope double, shift double").collect()
     if not found:
         return fit_rows([], np.zeros(0, dtype=bool))

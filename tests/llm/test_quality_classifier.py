@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tabloom.llm.quality_classifier import (
     FEATURES, RUNS_AT, dual_coordinate_descent, feature_sets, fit, fit_rows, op6_nb_svm_quality, score,
@@ -83,3 +84,18 @@ def test_one_class_and_no_rows(spark):
     assert score(docs.limit(0), none).count() == 0
     ones = fit_rows([np.array([1, 2])] * 20, np.ones(20, dtype=bool))
     assert ones.scores(iter([np.array([1])]))[0] > 0.9
+
+
+def test_a_repeated_id_counts_once_and_one_task_reads_features_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, (CLEAN if i % 2 else JUNK).format(i)) for i in range(200)], "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    plain = fit(docs, labels)
+    hot = docs.unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(300)).select("doc_id", "text"))
+    seen = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(df) or collect(df))
+    again = fit(hot, labels)
+    assert (again.weights == plain.weights).all() and (again.ratios == plain.ratios).all() and again.bias == plain.bias
+    plan = seen[-1]._jdf.queryExecution().sparkPlan().toString()
+    train = plan.index("MapInArrow")
+    assert "Coalesce" not in plan and train < plan.index("Exchange", train) < plan.index("MapInArrow", train + 1)
