@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,26 @@ QUERIES_IN_BLOCK, ROWS_IN_BLOCK, DIMS_IN_BLOCK = 256, 2048, 16
 COMPACT_BELOW = 0.25
 
 
+def reach(sums: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """What ``sums`` can grow to by ``left`` at most, as floats that are not too small."""
+    if sums.dtype == np.float64:
+        return sums + left * (1 + 1e-9)
+    near = sums.astype(np.float64)  # rounded, other than sums below 2^52
+    return near + np.abs(near) * 1e-14 + left * (1 + 1e-9)
+
+
 def search_block(queries: np.ndarray, columns: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of all pairs whose score may reach the query's ``floor``.
 
     ``columns`` is vertical: a row per dimension. After each block of dimensions a
     pair's score is at most its sum so far plus the product of both remaining
-    norms; pairs below the floor go. Sums of integers, so every kept score is exact.
+    norms; pairs below the floor go. Sums of integers, so every kept score is exact;
+    norms are floats, as squares may not fit where the products do.
     """
     dims = columns.shape[0]
     edges = list(range(0, dims, DIMS_IN_BLOCK)) + [dims]
-    left_q = np.sqrt(np.cumsum((queries**2)[:, ::-1], axis=1)[:, ::-1])
-    left_c = np.sqrt(np.cumsum((columns**2)[::-1], axis=0)[::-1])
+    left_q = np.sqrt(np.cumsum((queries.astype(np.float64, copy=False) ** 2)[:, ::-1], axis=1)[:, ::-1])
+    left_c = np.sqrt(np.cumsum((columns.astype(np.float64, copy=False) ** 2)[::-1], axis=0)[::-1])
     sums = np.zeros((len(queries), columns.shape[1]), dtype=queries.dtype)
     pairs = None
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -37,7 +47,7 @@ def search_block(queries: np.ndarray, columns: np.ndarray, floor: np.ndarray) ->
             sums += queries[:, a:b] @ columns[a:b]
             if b == dims:
                 break
-            bound = sums + left_q[:, b : b + 1] * left_c[b : b + 1] * (1 + 1e-9)
+            bound = reach(sums, left_q[:, b : b + 1] * left_c[b : b + 1])
             alive = bound >= floor[:, None]
             if alive.mean() < COMPACT_BELOW:
                 pairs = np.nonzero(alive)
@@ -46,23 +56,33 @@ def search_block(queries: np.ndarray, columns: np.ndarray, floor: np.ndarray) ->
             q, c = pairs
             sums = sums + np.einsum("ij,ji->i", queries[q, a:b], columns[a:b][:, c])
             if b < dims:
-                keep = sums + left_q[q, b] * left_c[b, c] * (1 + 1e-9) >= floor[q]
+                keep = reach(sums, left_q[q, b] * left_c[b, c]) >= floor[q]
                 pairs, sums = (q[keep], c[keep]), sums[keep]
     if pairs is None:
-        pairs = np.nonzero(sums >= floor[:, None])
+        pairs = np.nonzero(sums.astype(np.float64, copy=False) >= floor[:, None])
         sums = sums[pairs]
-    keep = sums >= floor[pairs[0]]
+    keep = sums.astype(np.float64, copy=False) >= floor[pairs[0]]
     return pairs[0][keep], pairs[1][keep], sums[keep]
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k highest scores of each query, ties to the smaller id, in order."""
-    order = np.lexsort((ids, -score, query))
+    if score.dtype == object:
+        order = np.array(sorted(range(len(ids)), key=lambda i: (query[i], -score[i], ids[i])), dtype=np.int64)
+    else:
+        order = np.lexsort((ids, -score, query))
     first = np.concatenate([[True], query[order][1:] != query[order][:-1]])
     begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     return order[np.arange(len(order)) - begin < k]
 
 
+def decimals(score: np.ndarray) -> pa.Array:
+    """Scores as decimals of 38 digits, which is more than any two vectors of this search make but for the largest."""
+    if score.dtype != object:
+        return pa.array(score).cast(pa.decimal128(38, 0))
+    return pa.array([Decimal(int(x)) for x in score], pa.decimal128(38, 0))
+
+
 def packed_blocks(vectors: DataFrame, size: int) -> DataFrame:
     """block, ids binary, values binary: rows of some partition in vertical blocks of at most ``size``."""
 
@@ -90,7 +110,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
     """query_id, rank, vec_id, score: the k highest integer inner products of each query.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
-    Components become floor(64 x). A null vec_id or vector, and null or non-finite
+    Components become floor(64 x); one that then has no 64 bits is an error, as is a
+    score of the result that has none. A null vec_id or vector, and null or non-finite
     components, take no part; vectors meet those of their own width. Rows with the
     query's vec_id are its own and no candidates; a vec_id repeated among the
     queries is searched once (its first vector in sort order); repeated candidates
@@ -103,8 +124,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
     """
     spark = vectors.sparkSession
     slices_ = slices_ or partitions(spark)
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 1e12))
+    scaled = F.transform(
+        "embedding",
+        lambda x: F.when(F.abs(x.cast("double")) < float((1 << 63) // SCALE), F.floor(x.cast("double") * SCALE)).otherwise(
+            F.raise_error(F.lit("a component times 64 does not fit into 64 bits")).cast("long")
+        ),
+    )
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.cast("array<long>").alias("vector"))
     asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -125,7 +151,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
             if state is not None and len(state[3]):
                 names, _, _, q, ids, score = state
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[q]), pa.array(ids), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"]
+                    [pa.array(names[q]), pa.array(ids), decimals(score)], ["query_id", "vec_id", "score"]
                 )
 
         for batch in batches:
@@ -141,6 +167,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
                 exact = float(np.abs(values).max(initial=0)) * float(np.abs(asked_).max(initial=0)) * row["width"]
                 kind = np.float64 if exact < 2**52 else np.int64 if exact < 2**62 else object
                 at, c, s = search_block(asked_.astype(kind), values.astype(kind), floor)
+                s = s if kind is object else s.astype(np.int64)  # blocks of floats and of larger integers meet here
                 other = ids[c] != names[at]
                 q, held, score = (np.concatenate(x) for x in ((q, at[other]), (held, ids[c][other]), (score, s[other])))
                 top = best(q, held, score, k)
@@ -151,10 +178,12 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
                 state = (names, asked_, np.where(full, lowest, -np.inf), q, held, score)
         yield from found()
 
-    partial = both.mapInArrow(run, "query_id long, vec_id long, score long")
+    partial = both.mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    fits = F.col("score").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit into 64 bits")).cast("long"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

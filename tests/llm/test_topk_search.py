@@ -41,3 +41,27 @@ def test_bounds_keep_what_reaches_the_floor():
     floor = np.sort(scores, axis=1)[:, -5]
     a, b, s = search_block(q, c, floor)
     assert sorted(zip(a.tolist(), b.tolist(), s.tolist())) == sorted((i, j, scores[i, j]) for i in range(9) for j in range(700) if scores[i, j] >= floor[i])
+
+
+def test_large_finite_components_are_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=40).tolist()) for i in range(200)]
+    # sizes whose squares do not fit into 64 bits, alone among small vectors; mixed signs within one vector
+    rows += [(301 + i, (rng.normal(size=40) * size).tolist()) for i, size in enumerate([5e7, 1e8, 1e8, 1e10, 1e13])]
+    rows += [(320, (rng.normal(size=40) * 10).tolist()), (321, [1e13] + [0.0] * 39), (322, [0.0] * 39 + [-1e13])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for slices in (1, 5):
+        got = sorted(map(tuple, top_k(frame, F.col("vec_id") % 20 == 0, k=7, slices_=slices).collect()))
+        assert got == brute(rows, lambda i: i % 20 == 0, 7)
+
+
+def test_bounds_of_integers_beyond_the_floats():
+    rng = np.random.default_rng(6)
+    for size_q, size_c, kind in ((1e2, 5e14, np.int64), (1e15, 1e15, object), (3e9, 1e7, np.int64)):
+        q = np.floor(size_q * rng.normal(size=(5, 48))).astype(np.int64).astype(kind)
+        c = np.floor(size_c * rng.normal(size=(48, 300)) * np.exp(-np.arange(48) / 6)[:, None]).astype(np.int64).astype(kind)
+        scores = q.astype(object) @ c.astype(object)
+        floor = np.sort(scores.astype(np.float64), axis=1)[:, -5]
+        a, b, s = search_block(q, c, floor)
+        want = sorted((i, j, scores[i, j]) for i in range(5) for j in range(300) if float(scores[i, j]) >= floor[i])
+        assert sorted(zip(a.tolist(), b.tolist(), s.tolist())) == want
