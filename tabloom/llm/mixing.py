@@ -60,13 +60,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     partitions hold ranges of the key and are sorted. ``weights`` maps sources to
     relative weights (missing: 0; null sources have none); without it, a source
     weighs the square root of its documents. Rows with equal doc_id are drawn
-    alike; a null doc_id is drawn as the word ``null``; texts may be null. Columns
+    alike; rows without doc_id are drawn and ordered by their text, so only equal
+    texts are alike there, and without text as the word ``null``. Columns
     named copy, copies or shuffle_key are replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
     rates = repetition_rates(docs, weights, size)
     own = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5("text")), F.lit("null"))
     rows = docs.select(F.struct(*own).alias("own"), name.alias("name_"))
     rows = rows.withColumn("draw", unit(F.lit(str(seed)), "name_"))
     same = F.col("own.source").eqNullSafe(F.col("from_source"))

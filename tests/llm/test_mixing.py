@@ -68,3 +68,11 @@ def test_sources_get_their_weights(spark):
 
 def test_empty_table(spark):
     assert mix(frame(spark).limit(0)).count() == 0
+
+
+def test_documents_without_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"text {i}", "hot") for i in range(3000)] + [(i, "x", "rest") for i in range(1000)]
+    out = mix(frame(spark, rows), {"hot": 1.0, "rest": 3.0}).filter("source = 'hot'").collect()
+    # a rate of a third: the one draw of the word null let all of them go
+    assert abs(len(out) - 1000) < 130 and len({r.copies for r in out}) > 1
+    assert len({r.shuffle_key for r in out}) == len(out)
