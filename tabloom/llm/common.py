@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,44 @@ def texts_of(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(*columns)
 
 
+#: What empties the caches that modules keep in a worker, by the module's name.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, and workers are reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def empty_caches(keep: str) -> None:
+    """Empty the worker's caches but those of the module ``keep``. (By name, as a pickled pass would carry a copy.)"""
+    old = [empty for name, empty in caches.items() if name != keep]
+    for empty in old:
+        empty()
+    if old:
+        give_back()
+
+
+def tidy(run: Callable, keep: str = "") -> Callable:
+    """A pass over batches that leaves no memory behind: a worker serves one stage after another.
+
+    Caches of other modules than ``keep`` are emptied before it, freed memory is given back after it.
+    """
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_caches(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return passed
+
+
 def bases(parts: DataFrame, part: str, amount: str) -> DataFrame:
     """Per part: what all smaller parts hold together (``base``), and the ``total`` of all.
 

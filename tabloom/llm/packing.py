@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import bases, binaries, partitions, read, slices, stage, texts_of
+from tabloom.llm.common import bases, binaries, partitions, read, slices, stage, texts_of, tidy
 from tabloom.llm.tokens import END_ID, encoder, vocabulary
 
 LENGTH = 4096
@@ -89,7 +89,7 @@ def tokens_with_key(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
 
     rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, hilbert_key long, doc_tokens long, ids binary")
+    return rows.mapInArrow(tidy(run, "tokens"), "doc_id long, hilbert_key long, doc_tokens long, ids binary")
 
 
 def cut_points(first: int, last: int, total: int, length: int) -> list[int]:
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, le
     order = ("hilbert_key", "doc_id", "row")
     ranged = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     placed = ranged.select(F.spark_partition_id().alias("part"), "row", "doc_tokens")
-    placed = stage(placed.mapInArrow(places, "part int, row long, doc_tokens long, before long"))
+    placed = stage(placed.mapInArrow(tidy(places, "tokens"), "part int, row long, doc_tokens long, before long"))
     sums = bases(placed, "part", "doc_tokens")
     # a row per range partition of the shuffle
     starts = placed.join(F.broadcast(sums), "part").select("row", (F.col("base") + F.col("before")).alias("first"), "total")
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, le
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), pieces], names)
 
     whole = coded.select("row", "doc_id", "hilbert_key", "ids").join(starts, "row")
-    return whole.select("doc_id", "hilbert_key", "first", "total", "ids").mapInArrow(cut, PIECES)
+    return whole.select("doc_id", "hilbert_key", "first", "total", "ids").mapInArrow(tidy(cut, "tokens"), PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

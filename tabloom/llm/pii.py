@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import BLANK, read, slices, texts_of
+from tabloom.llm.common import BLANK, read, slices, texts_of, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -343,7 +343,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

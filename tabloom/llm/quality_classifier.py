@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import read, slices, texts_of
+from tabloom.llm.common import read, slices, texts_of, tidy
 
 #: Labelled rows that a fit takes at most, the first by a hash; every fifth of them sets the scale of the score.
 SAMPLE = 12_000
@@ -186,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         row = [model.ratios.astype("<f8").tobytes(), model.weights.astype("<f8").tobytes(), model.bias, model.slope, model.shift]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["ratios", "weights", "bias", "slope", "shift"])
 
-    made = rows.mapInArrow(features, "doc_id long, label int, features binary").repartition(1)
-    found = made.mapInArrow(train, "ratios binary, weights binary, bias double, slope double, shift double").collect()
+    made = rows.mapInArrow(tidy(features), "doc_id long, label int, features binary").repartition(1)
+    found = made.mapInArrow(tidy(train), "ratios binary, weights binary, bias double, slope double, shift double").collect()
     if not found:
         return fit_rows([], np.zeros(0, dtype=bool))
     r = found[0]
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 scores = shared.value.scores(feature_sets(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
-    scored = texts_of(docs, *own).mapInArrow(run, f"{kinds}, score double")
+    scored = texts_of(docs, *own).mapInArrow(tidy(run), f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

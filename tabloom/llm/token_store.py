@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import bases, binaries, partitions, range_edges, read, shared_folder, slices, texts_of
+from tabloom.llm.common import bases, binaries, partitions, range_edges, read, shared_folder, slices, texts_of, tidy
 from tabloom.llm.tokens import END_ID, encoder, vocabulary
 from tabloom.llm.wavelet import WaveletMatrix
 
@@ -40,7 +40,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, edges: list[int]) -> D
                 )
 
     rows = texts_of(docs, F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "part int, doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(run, "tokens"), "part int, doc_id long, n_tokens long, ids binary")
 
 
 def write_shards(
@@ -89,7 +89,7 @@ def write_shards(
 
     rows = encoded(docs, tokenizer, end_id, edges).select("part", "doc_id", "ids")
     ordered = rows.repartition(count, "part").sortWithinPartitions("part", "doc_id", "ids")
-    ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(tidy(run, "tokens"), SHARDS).write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +119,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("content", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("content", "start").mapInArrow(tidy(run, "tokens"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

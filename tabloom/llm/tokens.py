@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tabloom.llm.common import spread
+from tabloom.llm.common import caches, give_back, spread
 
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
@@ -28,10 +28,13 @@ TOGETHER = 3000
 #: Words of small Latin letters: no normal form, lower case or split changes them.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SEPARATOR = "\x00"
+#: Code points that are looked at together.
+CODES = 1 << 13
 #: ASCII signs before which words are cut, for a character class.
 MARKS = r"!-@\[-`{-~"
 
 _encoders: dict[str, Encoder] = {}
+caches["tokens"] = _encoders.clear
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -52,12 +55,17 @@ def taken_apart(normalizer) -> str:
     """All letters whose normal form holds more than letters, as the Turkish dotted I and letters with a nukta."""
     if normalizer is None:
         return ""
-    known = pa.array([chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000])
-    known = known.filter(pc.match_substring_regex(known, r"^\p{L}$"))
-    forms = pa.array(normalizer.normalize_str(" ".join(known.to_pylist())).split(" "))
-    if len(forms) != len(known):
-        forms = pa.array([normalizer.normalize_str(x) for x in known.to_pylist()])
-    return "".join(known.filter(pc.invert(pc.match_substring_regex(forms, r"^\p{L}+$"))).to_pylist())
+    out = []
+    for first in range(0, 0x110000, CODES):
+        known = pa.array([chr(c) for c in range(max(0x80, first), first + CODES) if not 0xD800 <= c < 0xE000], pa.string())
+        known = known.filter(pc.match_substring_regex(known, r"^\p{L}$"))
+        if not len(known):
+            continue
+        forms = pa.array(normalizer.normalize_str(" ".join(known.to_pylist())).split(" "))
+        if len(forms) != len(known):
+            forms = pa.array([normalizer.normalize_str(x) for x in known.to_pylist()])
+        out += known.filter(pc.invert(pc.match_substring_regex(forms, r"^\p{L}+$"))).to_pylist()
+    return "".join(out)
 
 
 class Encoder:
@@ -77,6 +85,7 @@ class Encoder:
         apart = taken_apart(self.library.normalizer)
         self.odd = r"[\p{M}\x00]|<\|" + (f"|[{apart}][{MARKS}]" if apart else "")
         self._forget()
+        give_back()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabloom.llm.common import partitions, read
+from tabloom.llm.common import partitions, read, tidy
 
 K = 20
 SCALE = 64
@@ -103,7 +103,7 @@ def packed_blocks(vectors: DataFrame, size: int) -> DataFrame:
                         ["width", "ids", "values_"],
                     )
 
-    return vectors.mapInArrow(run, "width int, ids binary, values_ binary")
+    return vectors.mapInArrow(tidy(run), "width int, ids binary, values_ binary")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None) -> DataFrame:
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None)
                 state = (names, asked_, np.where(full, lowest, -np.inf), q, held, score)
         yield from found()
 
-    partial = both.mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
+    partial = both.mapInArrow(tidy(run), "query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     fits = F.col("score").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabloom.llm.common import partitions
+from tabloom.llm.common import partitions, tidy
 
 #: Queries of a block, rows of a block, bytes of the vectors of a slice.
 QUERIES_IN_BLOCK, ROWS_IN_BLOCK, SLICE_BYTES = 256, 2048, 32_000_000
@@ -60,7 +60,7 @@ def packed(rows: DataFrame, longs: list[str], size: int) -> DataFrame:
                         ["width", "rows", "longs", "vectors"],
                     )
 
-    return rows.select(*longs, "vector").mapInArrow(run, BLOCK)
+    return rows.select(*longs, "vector").mapInArrow(tidy(run), BLOCK)
 
 
 def unpacked(width: int, rows: int, longs: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def visit(rows: DataFrame, row_longs: list[str], queries: DataFrame, query_longs
                 elif resident:
                     yield from search(resident, block)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy(run), schema)
 
 
 BLOCK_NAMES = [f.split()[0] for f in BLOCK.split(", ")]
