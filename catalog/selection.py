@@ -114,6 +114,44 @@ for _score, _sql in SCORED_SQL.items():
         f"{_sql} SELECT feature, {r6('score', 'score')}, {r6('p', 'p_value')} FROM scored",
     )(_run_score)
 
+# Neighbours by all pairs: r to the third neighbour of the class, m rows nearer than r; psi by its sum of inverses.
+NEIGHBOUR_SQL = f"""{SHIFTED_SQL},
+psi AS (SELECT CAST(k AS BIGINT) AS k, -0.57721566490153286e0 + coalesce(sum(CASE WHEN k > 1 THEN 1.0e0 / (k - 1) END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 0.0e0) AS p
+        FROM (SELECT k FROM range(2, (SELECT count(*) + 2 FROM embeddings)) g(k) UNION ALL SELECT 1) ORDER BY k),
+q AS (SELECT feature, vec_id, y, x, count(*) OVER (PARTITION BY feature, y) AS held, count(*) OVER (PARTITION BY feature) AS n FROM f),
+pairs AS (SELECT a.feature, a.vec_id, a.x, a.held, a.n, abs(b.x - a.x) AS d, b.x AS bx, a.y = b.y AS same, a.vec_id = b.vec_id AS own
+          FROM q a JOIN q b ON a.feature = b.feature WHERE a.held > 1 AND b.held > 1),
+near AS (SELECT feature, vec_id, max(d) AS r FROM (
+           SELECT *, row_number() OVER (PARTITION BY feature, vec_id ORDER BY d) AS place FROM pairs WHERE same AND NOT own) WHERE place <= 3 GROUP BY feature, vec_id),
+m AS (SELECT feature, vec_id, any_value(held) AS held, any_value(n) AS n, any_value(r) AS r,
+             count(*) FILTER (CASE WHEN r > 0 THEN bx > x - r AND bx < x + r ELSE bx = x END) AS m,
+             count(*) FILTER (bx = x AND same) AS ties
+      FROM pairs JOIN near USING (feature, vec_id) GROUP BY feature, vec_id),
+terms AS (SELECT feature, any_value(pn.p) AS pn, avg(pk.p - ph.p - pm.p) AS t FROM m
+          JOIN psi pn ON pn.k = m.n JOIN psi ph ON ph.k = held JOIN psi pm ON pm.k = m.m
+          JOIN psi pk ON pk.k = CASE WHEN r > 0 THEN least(3, held - 1) ELSE ties END GROUP BY feature),
+scored AS (SELECT feature, greatest(pn + t, 0) AS score, NULL::DOUBLE AS p FROM terms)
+"""
+
+
+@query(
+    "score_mutual_info_neighbours",
+    f"{NEIGHBOUR_SQL} SELECT feature, {r6('score', 'score')}, {r6('p', 'p_value')} FROM scored",
+)
+def q_neighbour_scores(spark, sf):
+    scored = SCORES["mi_classif"](shifted(spark, sf), estimator="neighbours")
+    return rounded(scored.select("feature", "score", "p_value"))
+
+
+@query(
+    "select_mi_neighbours_kbest",
+    f"""{NEIGHBOUR_SQL}, kept AS (SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS rk FROM scored) WHERE rk <= 10)
+    SELECT feature, {r6('avg(x)', 'mean')} FROM kept JOIN f USING (feature) GROUP BY feature""",
+)
+def q_neighbour_select(spark, sf):
+    return _means(get_operator("select_mi_classif_kbest", estimator="neighbours").fit_transform(shifted(spark, sf)))
+
+
 KEEP_SQL = {
     "kbest": "row_number() OVER (ORDER BY score DESC, feature) <= 10",
     "percentile": "score > quantile_cont(score, 0.9) OVER ()",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tabloom.frame import Table, c
 from tabloom.functions.pvalues import chi2_p, f_p
 from tabloom.functions.stats import PERFECT, correlation, unpivot
+from tabloom.operators.information import neighbour_information
 from tabloom.operators.scale import bin_edges, bin_of
 
 
@@ -82,12 +83,12 @@ def _mutual_information(cells: DataFrame) -> DataFrame:
     )
 
 
-def score_mutual_info_classif(t: Table, bins: int = 10) -> DataFrame:
-    """MI of quantile bins and classes.
-
-    The usual nearest-neighbour estimator adds seeded noise and has no exact
-    distributed form; binning is the deliberate substitute.
-    """
+def score_mutual_info_classif(t: Table, bins: int = 10, estimator: str = "bins", neighbours: int = 3) -> DataFrame:
+    """MI of quantile bins and classes, or, by name, the nearest-neighbour estimate of continuous features and classes."""
+    if estimator == "neighbours":
+        return neighbour_information(t, neighbours)
+    if estimator != "bins":
+        raise ValueError(f"no such estimator: {estimator}")
     edges = bin_edges(t, t.features, bins)
     cells = (
         unpivot(t.df, {n: bin_of(t.number(n), edges[n]) for n in t.features}, {"y": c(t.label)})

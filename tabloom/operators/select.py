@@ -42,7 +42,8 @@ class _Scored(Selector):
 
     def learn(self, t):
         position = {n: i for i, n in enumerate(t.features)}
-        rows = sorted(SCORES[self.score](t).collect(), key=lambda r: position[r["feature"]])
+        options = {k: v for k, v in self.params.items() if k in ("bins", "estimator", "neighbours")}
+        rows = sorted(SCORES[self.score](t, **options).collect(), key=lambda r: position[r["feature"]])
         keep = set(self.choose(rows))
         # An empty choice passes the input through and says so.
         kept = [n for n in t.features if n in keep] or list(t.features)
