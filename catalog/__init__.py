@@ -14,6 +14,7 @@ from catalog import ( # noqa: F401
     decomposition,
     learning,
     models,
+    forests,
     pipelines,
     profiling,
     sampling,

@@ -10,19 +10,19 @@ every ``CUT_EVERY`` rounds.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.keys import MODULUS, keyed_hash
 from tabloom.functions.linear import softmax
 from tabloom.functions.rank import literal_array, quantiles, range_of
-from tabloom.functions.stats import class_index, class_stats
+from tabloom.functions.stats import class_index, class_stats, classes
 from tabloom.operators.base import register
+from tabloom.operators.bootstrap import balanced_bootstrap
+from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, shares
 from tabloom.operators.learner import Classifier
 from tabloom.operators.scale import bin_of
-from tabloom.operators.trees import IDX, VEC, ml_roles, vector
+from tabloom.operators.trees import DEEP
 from tabloom.session import cut_lineage
 
 CUT_EVERY = 10
@@ -223,32 +223,24 @@ class RusBoost(_StumpEnsemble):
 
 @register
 class BalancedForest(Classifier):
-    """100 trees on class-balanced bootstraps.
+    """100 trees, each on a bootstrap with as many rows of every class as the smallest class has.
 
-    Class weights give every bootstrap the same expected mass per class, so no
-    row is thrown away and all trees grow in one run.
+    Square-root feature subsets, best cuts. ``depth`` bounds the trees as in the other
+    forests; the state is plain JSON.
     """
 
     name = "clf_balanced_random_forest"
     title = "BalancedRandomForestClassifier"
 
     def learn(self, t):
-        s = class_stats(t, [])
-        k = class_index(t, s.labels)
-        weight = F.get(F.array(*[F.lit(float(s.n.min() / n)) for n in s.n]), k)
-        data = t.df.select(vector(t).alias(VEC), k.cast("double").alias(IDX), weight.alias("__w")).where(F.col(IDX).isNotNull()).persist()
-        forest = RandomForestClassifier(
-            numTrees=self.params.get("trees", 100),
-            maxDepth=self.params.get("depth", 15),
-            featureSubsetStrategy="sqrt",
-            weightCol="__w",
-        )
-        try:
-            return {"labels": s.labels, "model": ml_roles(forest, self.params.get("seed", 0)).fit(data)}
-        finally:
-            data.unpersist()
+        labels, p = classes(t), len(t.features)
+        seed, trees = self.params.get("seed", 0), self.params.get("trees", 100)
+        rule = Rule(len(labels), p, max(1, int(p**0.5)), seed, False, self.params.get("depth", DEEP))
+        rows = cut_lineage(balanced_bootstrap(t, labels, trees, seed).select("x", "y", "w"))
+        forest = Grower(rows, trees, rule, self.params.get("local_rows", LOCAL_ROWS)).run()
+        return {"labels": labels, "forest": [vars(tree) for tree in forest]}
 
     def apply(self, t, state):
-        scored = state["model"].transform(t.df.withColumn(VEC, vector(t)))
-        p = vector_to_array("__mlq")
-        return self.outputs(t.with_df(scored), state["labels"], [F.get(p, F.lit(i)) for i in range(len(state["labels"]))])
+        p = shares(state["forest"], [t.number(n) for n in t.features])
+        scored = t.with_df(t.df.withColumn("__prob", p))
+        return self.outputs(scored, state["labels"], [F.get("__prob", F.lit(i)) for i in range(len(state["labels"]))])

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, whitening
 from tabloom.functions.stats import Moments, means, moments, number_columns, number_matrix
 from tabloom.operators.base import Operator, register
+from tabloom.session import cut_lineage
 
 
 def principal_axes(m: Moments) -> tuple[np.ndarray, np.ndarray]:
@@ -248,19 +249,18 @@ class RandomTreesEmbedding(Operator):
         trees, depth = self.params.get("trees", 10), self.params.get("depth", 5)
         rng = random.Random(self.params.get("seed", 0))
         split = [{} for _ in range(trees)]  # node -> (feature index, cut)
+        numbers, p = cut_lineage(t.df.select(*number_columns(t, t.features))), len(t.features)
         for level in range(depth):
-            for (tree, node), (n, low, high) in sorted(self._ranges(t, split, level).items()):
+            for (tree, node), (n, low, high) in sorted(self._ranges(numbers, p, split, level).items()):
+                if node < 2**level:
+                    continue
                 open_features = [i for i in range(len(low)) if low[i] < high[i]]
                 if n < 2 or not open_features:
                     continue
                 f = rng.choice(open_features)
                 split[tree][node] = (f, rng.uniform(low[f], high[f]))
-        leaves = []
-        numbers = t.df.select(*number_columns(t, t.features))
-        found = numbers.select(F.posexplode(self._routes(split)).alias("tree", "node")).distinct().collect()
-        for r in sorted((r["tree"], r["node"]) for r in found):  # at most trees * 2 ** depth
-            leaves.append(list(r))
-        return {"split": [{str(k): v for k, v in s.items()} for s in split], "depth": depth, "leaves": leaves}
+        leaves = sorted(self._ranges(numbers, p, split, depth))  # at most trees * 2 ** depth
+        return {"split": [{str(k): v for k, v in s.items()} for s in split], "depth": depth, "leaves": [list(v) for v in leaves]}
 
     @staticmethod
     def _route(split: dict, node: int = 1) -> Column:
@@ -275,16 +275,45 @@ class RandomTreesEmbedding(Operator):
     def _routes(self, split: list[dict]) -> Column:
         return F.array(*[self._route(s) for s in split])
 
-    def _ranges(self, t: Table, split: list[dict], level: int) -> dict:
-        p = len(t.features)
-        numbers = t.df.select(*number_columns(t, t.features))
-        routed = numbers.select(F.posexplode(self._routes(split)).alias("tree", "node"), *numbers.columns)
-        aggs = [f(f"__x{i}").alias(f"{a}{i}") for i in range(p) for f, a in ((F.min, "a"), (F.max, "b"))]
-        rows = routed.where(F.col("node") >= 2**level).groupBy("tree", "node").agg(F.count("*").alias("n"), *aggs).collect()
-        return {
-            (r["tree"], r["node"]): (r["n"], [r[f"a{i}"] for i in range(p)], [r[f"b{i}"] for i in range(p)])
-            for r in rows
-        }
+    @staticmethod
+    def _ranges(numbers: DataFrame, p: int, split: list[dict], depth: int) -> dict:
+        """(tree, node): rows, lowest and highest value of each feature, of the nodes where rows end after ``depth`` splits.
+
+        A task routes its batches through all trees and hands over one row per node.
+        """
+        feature = np.full((len(split), 2 ** (depth + 1)), -1)
+        cut = np.zeros(feature.shape)
+        for tree, nodes in enumerate(split):
+            for node, (f, v) in nodes.items():
+                feature[tree, node], cut[tree, node] = f, v
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = np.zeros(feature.shape, np.int64)
+            low, high = np.full((*feature.shape, p), np.inf), np.full((*feature.shape, p), -np.inf)
+            for pdf in batches:
+                x = number_matrix(pdf, p)
+                for tree in range(len(split)):
+                    node = np.ones(len(x), np.int64)
+                    for _ in range(depth):
+                        f = feature[tree, node]
+                        goes = x[np.arange(len(x)), f] > cut[tree, node]
+                        node = np.where(f >= 0, 2 * node + goes, node)
+                    order = np.argsort(node, kind="stable")
+                    starts = np.flatnonzero(np.diff(node[order], prepend=-1))
+                    if len(starts):
+                        own, sorted_ = node[order][starts], x[order]
+                        rows[tree, own] += np.diff(np.append(starts, len(x)))
+                        low[tree, own] = np.fmin(low[tree, own], np.fmin.reduceat(sorted_, starts, axis=0))
+                        high[tree, own] = np.fmax(high[tree, own], np.fmax.reduceat(sorted_, starts, axis=0))
+            trees, nodes = np.nonzero(rows)
+            out = {"tree": trees, "node": nodes, "n": rows[trees, nodes]}
+            out |= {f"{a}{i}": v[trees, nodes, i] for i in range(p) for a, v in (("a", low), ("b", high))}
+            yield pd.DataFrame(out)
+
+        ends = ", ".join(f"{a}{i} double" for i in range(p) for a in "ab")
+        aggs = [f(f"{a}{i}").alias(f"{a}{i}") for i in range(p) for f, a in ((F.min, "a"), (F.max, "b"))]
+        found = numbers.mapInPandas(run, f"tree int, node int, n long, {ends}").groupBy("tree", "node").agg(F.sum("n").alias("n"), *aggs).collect()
+        return {(r["tree"], r["node"]): (r["n"], [r[f"a{i}"] for i in range(p)], [r[f"b{i}"] for i in range(p)]) for r in found}
 
     def apply(self, t, state):
         code = "".join(n[0] for n in t.features)[:10]

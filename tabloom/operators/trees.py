@@ -5,22 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
-from tabloom.functions.rank import range_of
-from tabloom.functions.stats import class_index, classes, one_row
+from tabloom.functions.stats import class_index, classes
 from tabloom.operators.base import register
+from tabloom.operators.gradient import ONE_TASK, Plan, boosted_shares, fit_boosting
+from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, shares
 from tabloom.operators.learner import Classifier, Regressor
-from tabloom.session import ensure_checkpoint_dir
+from tabloom.session import cut_lineage
 
 DEEP = 30  # the deepest tree Spark ML grows
 VEC, IDX = "__vec", "__idx"
@@ -110,10 +106,9 @@ class DecisionTree(_MlClassifier):
 
 @register
 class ExtraTrees(Classifier):
-    """Extremely random trees: every tree sees its own random cut points.
+    """Extremely random trees: a node draws a cut from its own range for each of its features, no bootstrap.
 
-    Each feature is cut at points drawn uniformly from its range, so the tree
-    can choose only among random thresholds; no bootstrap.
+    ``depth`` bounds the trees as in the other forests; the state is plain JSON.
     """
 
     name = "clf_extra_trees"
@@ -121,121 +116,58 @@ class ExtraTrees(Classifier):
 
     def learn(self, t):
         labels = classes(t)
-        row = one_row(t.df, {f"{f}:{n}": g(t.number(n)) for n in t.features for f, g in (("a", F.min), ("b", F.max))})
-        rng = np.random.default_rng(self.params.get("seed", 0))
-        models, cuts = [], []
-        subset = "sqrt" if len(t.features) > 1 else "all"
         p = len(t.features)
-        numbers = F.array(*[t.number(n) for n in t.features]).alias("x")
-        base = t.df.select(numbers, class_index(t, labels).cast("double").alias(IDX)).where(F.col(IDX).isNotNull()).persist()
-        try:
-            for i in range(self.params.get("trees", 10)):
-                edges = {
-                    n: sorted(rng.uniform(row[f"a:{n}"], row[f"b:{n}"], self.params.get("cuts", 15)).tolist())
-                    for n in t.features
-                }
-                cut = [range_of(F.get("x", F.lit(j)), edges[t.features[j]]).cast("double") for j in range(p)]
-                forest = RandomForestClassifier(
-                    numTrees=1,
-                    maxDepth=self.params.get("depth", 15),
-                    featureSubsetStrategy=subset,
-                    bootstrap=False,
-                )
-                data = base.select(array_to_vector(F.array(*cut)).alias(VEC), IDX)
-                models.append(ml_roles(forest, self.params.get("seed", 0) + i).fit(data))
-                cuts.append(edges)
-        finally:
-            base.unpersist()
-        return {"labels": labels, "models": models, "cuts": cuts}
-
-    @staticmethod
-    def _cut(t: Table, n: str, edges: dict) -> Column:
-        return range_of(t.number(n), edges[n]).cast("double")
+        rule = Rule(len(labels), p, max(1, int(p**0.5)), self.params.get("seed", 0), True, self.params.get("depth", DEEP))
+        rows = t.df.select(F.array(*[t.number(n) for n in t.features]).alias("x"), class_index(t, labels).cast("int").alias("y"))
+        rows = cut_lineage(rows.where("y IS NOT NULL"))
+        forest = Grower(rows, self.params.get("trees", 10), rule, self.params.get("local_rows", LOCAL_ROWS)).run()
+        return {"labels": labels, "forest": [vars(tree) for tree in forest]}
 
     def apply(self, t, state):
-        df = t.df
-        for i, (model, edges) in enumerate(zip(state["models"], state["cuts"])):
-            df = df.withColumn(VEC, vector(t, lambda n: self._cut(t, n, edges)))
-            df = model.transform(df).withColumn(f"__p{i}", vector_to_array("__mlq")).drop("__mlp", "__mlq", "__mlr", VEC)
-        labels, m = state["labels"], len(state["models"])
-        shares = []
-        for j in range(len(labels)):
-            total = F.get("__p0", F.lit(j))
-            for i in range(1, m):
-                total = total + F.get(f"__p{i}", F.lit(j))
-            shares.append(total / m)
-        return self.outputs(replace(t, df=df), labels, shares)
+        p = shares(state["forest"], [t.number(n) for n in t.features])
+        scored = replace(t, df=t.df.withColumn("__prob", p))
+        return self.outputs(scored, state["labels"], [F.get("__prob", F.lit(i)) for i in range(len(state["labels"]))])
 
 
 class _Boosted(Classifier):
-    """Gradient boosted trees, one model per class against the rest."""
+    """Gradient boosted trees of all classes; parameters rounds, depth, leaves, rate and one_task override the plan."""
 
-    rounds, depth, rate = 100, 3, 0.1
-
-    def value(self, t: Table, n: str) -> Column:
-        return t.number(n)
+    plan = Plan()
 
     def learn(self, t):
-        ensure_checkpoint_dir(t.df.sparkSession)  # the trees' own checkpoints go there
-        labels = classes(t)
-        data = indexed(t, labels, lambda n: self.value(t, n)).persist()
-        models = []
-        try:
-            for k in range(len(labels)) if len(labels) > 2 else [1]:
-                target = data.withColumn(IDX, (F.col(IDX) == k).cast("double"))
-                gbt = GBTClassifier(
-                    maxIter=self.params.get("rounds", self.rounds),
-                    maxDepth=self.params.get("depth", self.depth),
-                    stepSize=self.rate,
-                    checkpointInterval=10,
-                )
-                models.append(ml_roles(gbt, self.params.get("seed", 0)).fit(target))
-        finally:
-            data.unpersist()
-        return {"labels": labels, "models": models}
+        given = {k: self.params[k] for k in ("rounds", "depth", "leaves", "rate", "penalty") if k in self.params}
+        return fit_boosting(t, classes(t), replace(self.plan, **given), self.params.get("one_task", ONE_TASK))
 
     def apply(self, t, state):
-        df = t.df.withColumn(VEC, vector(t, lambda n: self.value(t, n)))
-        for i, model in enumerate(state["models"]):
-            df = model.transform(df).withColumn(f"__p{i}", F.get(vector_to_array("__mlq"), F.lit(1)))
-            df = df.drop("__mlp", "__mlq", "__mlr")
-        labels = state["labels"]
-        if len(state["models"]) == 1 and len(labels) == 2:
-            p = [1 - F.col("__p0"), F.col("__p0")]
-        else:
-            total = F.lit(1e-300)
-            for i in range(len(labels)):
-                total = total + F.col(f"__p{i}")
-            p = [F.col(f"__p{i}") / total for i in range(len(labels))]
-        return self.outputs(replace(t, df=df), labels, p)
+        scored = replace(t, df=t.df.withColumn("__prob", boosted_shares(state, [t.number(n) for n in t.features])))
+        return self.outputs(scored, state["labels"], [F.get("__prob", F.lit(i)) for i in range(len(state["labels"]))])
 
 
 @register
 class GradientBoosting(_Boosted):
+    """100 rounds of trees of depth 3."""
+
     name = "clf_gradient_boosting"
     title = "GradientBoostingClassifier"
 
 
 @register
 class XgbLike(_Boosted):
-    """Boosted trees that accept missing values: null goes below every number."""
+    """Penalised steps; missing values go to the side that each node has learned."""
 
     name = "clf_xgb"
     title = "XGBClassifier"
     contract = "xgb"
-    below = -1e300
-
-    def value(self, t, n):
-        return F.coalesce(t.number(n), F.lit(self.below))
+    plan = Plan(penalty=1.0, least_curvature=1.0)
 
 
 @register
 class LightGbmLike(_Boosted):
-    """Depth 5 bounds a tree to about the 31 leaves of a leaf-wise learner."""
+    """Trees of 31 leaves, grown best leaf first, with 20 rows or more each."""
 
     name = "clf_lightgbm"
     title = "LGBMClassifier"
-    depth = 5
+    plan = Plan(depth=None, leaves=31, least_rows=20, least_curvature=1e-3)
 
 
 class _MlRegressor(Regressor):
