@@ -10,6 +10,8 @@ restores it; other texts stay as they are. In roles ``%`` and ``|`` are written
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.llm.common import read
@@ -34,17 +36,53 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(role, F.lit("%7C"), F.lit("|")), F.lit("%25"), F.lit("%"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, not for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merged(turns: Column) -> Column:
-    """Neighbours of one role as one struct of the role and its texts, by an array aggregation."""
+    """Neighbours of one role as one struct of the role and its texts.
+
+    Each place where the role changes opens a run, which is cut out of the array whole: the work grows with the turns.
+    """
+
+    def runs(t: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+
+        def cut(at: Column, end: Column) -> Column:
+            texts = F.transform(F.slice(t, at + 1, end - at), lambda x: x["text"])
+            return F.struct(F.get(t, at)["role"].alias("role"), texts.alias("texts"))
+
+        return let(opens, lambda o: F.zip_with(o, F.concat(F.slice(o, F.lit(2), F.size(o)), F.array(F.size(t))), cut))
+
+    return let(turns, runs)
+
+
+#: Numbers that are added up by one array aggregation, which copies what it has for each.
+ADDED = 128
 
-    def add(runs: Column, turn: Column) -> Column:
-        last = F.element_at(runs, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        alone = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        more = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["role"] == turn["role"])
-        return F.when(more, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(alone)))
 
-    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), add)
+def sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it: within blocks, then over the blocks' totals."""
+
+    def running(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def placed(n: Column) -> Column:
+        count = F.ceil(F.size(n) / ADDED).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: running(F.slice(n, b * ADDED + 1, ADDED)))
+
+        def joined(blocks: Column) -> Column:
+            bases = running(F.transform(blocks, lambda x: F.element_at(x, -1)))
+            shifted = F.zip_with(
+                blocks, F.slice(bases, F.lit(1), F.size(blocks)), lambda x, base: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + base)
+            )
+            return F.flatten(shifted)
+
+        return let(blocks, joined)
+
+    return let(numbers, placed)
 
 
 def segments(runs: Column, learned: str) -> Column:
@@ -66,15 +104,15 @@ def segments(runs: Column, learned: str) -> Column:
 
 def loss_spans(pieces: Column) -> Column:
     """Byte offsets in the UTF-8 text: start from 0, and length, of each learned piece."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
-    def add(acc: Column, p: Column) -> Column:
-        length = F.octet_length(p["text"]).cast("long")
-        span = F.array(F.struct(acc["at"].alias("start"), length.alias("length")))
-        spans = F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + length).alias("at"), spans.alias("spans"))
+    def spans(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.octet_length(x["text"]).cast("long"))
+        placed = F.zip_with(
+            p, sums_before(lengths), lambda x, at: F.struct(at.alias("start"), F.octet_length(x["text"]).cast("long").alias("length"), x["loss"].alias("loss"))
+        )
+        return F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
 
-    return F.aggregate(pieces, start, add, lambda acc: acc["spans"])
+    return let(pieces, spans)
 
 
 def format_chats(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
@@ -96,20 +134,21 @@ def format_chats(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
 
 def parse_chats(chats: DataFrame) -> DataFrame:
     """conv_id, turns (array of role and text) and learned (string), read back from formatted chats."""
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
-
-    def add(acc: Column, part: Column) -> Column:
-        head = F.substring_index(part, CLOSE, 1)
-        body = unescape(F.substr(part, F.length(head) + 3))
-        role = F.when(F.startswith(head, F.lit("turn:")), unescape_role(F.substr(head, F.lit(6)))).otherwise(acc["role"])
-        turns = F.concat(acc["turns"], F.array(F.struct(role.alias("role"), body.alias("text"))))
-        return F.struct(role.alias("role"), F.when(head == "end", acc["turns"]).otherwise(turns).alias("turns"))
-
-    split = F.split("formatted", r"<\|", -1)
-    turns = F.aggregate(F.slice(split, F.lit(2), F.size(split)), start, add, lambda acc: acc["turns"])
-    raw = F.col("formatted").cast("binary")
-    spans = F.transform("loss_spans", lambda s: unescape(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string")))
-    return chats.select("conv_id", turns.alias("turns"), F.array_join(spans, "").alias("learned"), "formatted")
+
+    def texts(run: Column) -> Column:
+        role = unescape_role(F.substr(F.substring_index(run, CLOSE, 1), F.lit(len(OPEN) + 1)))
+        body = F.substr(run, F.instr(run, F.lit(CLOSE)) + len(CLOSE))
+        return F.transform(F.split(body, NEXT.replace("|", r"\|"), -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+
+    runs = F.split("formatted", END.replace("|", r"\|"), -1)
+    # behind the last end there is nothing
+    turns = let(runs, lambda r: F.flatten(F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda run: texts(run))))
+
+    def parts(raw: Column) -> Column:
+        return F.transform("loss_spans", lambda s: unescape(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string")))
+
+    learned = F.array_join(let(F.col("formatted").cast("binary"), parts), "")
+    return chats.select("conv_id", turns.alias("turns"), learned.alias("learned"), "formatted")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

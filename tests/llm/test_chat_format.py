@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from tabloom.llm import chat_format
 from tabloom.llm.chat_format import format_chats, op2_chat_format, parse_chats
 
 HARD = [
@@ -55,3 +56,25 @@ def test_query_against_brute_force(spark, sf):
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         want[c] = (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), digest(learned))
     assert {r.conv_id: tuple(r)[1:5] for r in op2_chat_format(spark, sf).collect()} == want
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    """Turn arrays are cut, not copied turn by turn: 32,000 turns of two roles in few seconds."""
+    import time
+
+    turns = spark.range(32_000).selectExpr(
+        "CAST(1 AS BIGINT) AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('text ', id, repeat(' <| é', 5)) AS text"
+    )
+    back = parse_chats(format_chats(turns))
+    start = time.time()
+    row = back.collect()[0]
+    assert time.time() - start < 20
+    said = [f"text {i}" + " <| é" * 5 for i in range(32_000)]
+    assert [t.text for t in row.turns] == said and row.learned == "".join(t for i, t in enumerate(said) if i % 3)
+
+
+def test_sums_before(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "ADDED", 4)
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 3, 4, 5, 8, 30)], "v array<long>")
+    for v, got in rows.select("v", chat_format.sums_before(F.col("v"))).collect():
+        assert got == [sum(v[:i]) for i in range(len(v))]
