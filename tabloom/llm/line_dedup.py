@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabloom.frame import c
 from tabloom.llm.common import BLANK, read, stage
 
 #: A line on so many sites is boilerplate; shorter lines (in words) are left alone.
@@ -63,15 +64,15 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     found = lines.join(common, ["high", "low"])
     kept = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at")) & (F.col("mark") == F.col("first.mark"))
     gone = found.filter(~kept).groupBy("doc", "mark").agg(F.collect_set("at").alias("gone_at"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*own).alias("own"), F.xxhash64("text").alias("text_mark"))
+    own = [n for n in docs.columns if n not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*map(c, own)).alias("own"), F.xxhash64("text").alias("text_mark"))
     joined = rows.join(gone, F.col("own.doc_id").eqNullSafe(F.col("doc")) & (F.col("text_mark") == F.col("mark")), "left")
     parts = joined.select("own", "gone_at", F.split("own.text", "\n", -1).alias("parts"))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone_at")
     text = F.when(F.col("gone_at").isNull(), F.col("own.text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.col("parts")[i]), "\n")
     )
-    out = [text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in own]
+    out = [text.alias(n) if n == "text" else F.col("own")[n].alias(n) for n in own]
     size = F.when(F.col("own.text").isNull(), 0).otherwise(F.size("parts")).cast("long")
     removed = F.when(F.col("gone_at").isNull(), 0).otherwise(F.size("gone_at"))
     return parts.select(*out, size.alias("n_lines"), removed.cast("long").alias("n_removed"))

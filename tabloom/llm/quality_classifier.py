@@ -13,8 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tabloom.frame import c
 from tabloom.llm.common import read, slices, texts_of, tidy
 
 #: Labelled rows that a fit takes at most, the first by a hash; every fifth of them sets the scale of the score.
@@ -201,16 +202,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    names = [n for n in docs.columns if n not in ("score", "predicted")]
+    # other columns travel as one struct, whatever their names
+    rows = texts_of(docs, "text", F.struct(*[c(n) for n in names if n != "text"]).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 scores = shared.value.scores(feature_sets(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["text", "own", "score"])
 
-    scored = texts_of(docs, *own).mapInArrow(tidy(run), f"{kinds}, score double")
+    scored = rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = scored.select(*[F.col("text") if n == "text" else F.col("own")[n].alias(n) for n in names], "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -7,15 +7,17 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabloom.llm.common import partitions, read, tidy
+from tabloom.llm.common import read, stage
+from tabloom.llm.vectors import as_kind, exact_kind, finite, scaled, visit
 
 K = 20
 SCALE = 64
-#: Queries of a block, candidates of a block, dimensions added up between two compactions.
-QUERIES_IN_BLOCK, ROWS_IN_BLOCK, DIMS_IN_BLOCK = 256, 2048, 16
+#: Dimensions added up between two compactions.
+DIMS_IN_BLOCK = 16
+#: Decimals have so many digits; larger scores count as this.
+MOST = 10**38 - 1
 #: Below this share of survivors the rest of a block is worked out for the survivors alone.
 COMPACT_BELOW = 0.25
 
@@ -77,113 +79,64 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 def decimals(score: np.ndarray) -> pa.Array:
-    """Scores as decimals of 38 digits, which is more than any two vectors of this search make but for the largest."""
+    """Scores as decimals of 38 digits; larger ones are cut to that."""
     if score.dtype != object:
         return pa.array(score).cast(pa.decimal128(38, 0))
-    return pa.array([Decimal(int(x)) for x in score], pa.decimal128(38, 0))
-
-
-def packed_blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """block, ids binary, values binary: rows of some partition in vertical blocks of at most ``size``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lengths = pc.list_value_length(batch.column("vector")).to_numpy()
-            flat = batch.column("vector").flatten().to_numpy()
-            starts = np.cumsum(lengths) - lengths
-            ids = batch.column("vec_id").to_numpy()
-            for width in np.unique(lengths):
-                rows = np.flatnonzero(lengths == width)
-                for part in np.split(rows, range(size, len(rows), size)):
-                    values = flat[starts[part][:, None] + np.arange(width)[None, :]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(width)], pa.int32()), pa.array([ids[part].tobytes()]), pa.array([values.T.tobytes()])],
-                        ["width", "ids", "values_"],
-                    )
-
-    return vectors.mapInArrow(tidy(run), "width int, ids binary, values_ binary")
+    return pa.array([Decimal(max(-MOST, min(MOST, int(x)))) for x in score], pa.decimal128(38, 0))
+
+
+def searched(k: int):
+    """The k best rows of a slice for each query of a block: its row, vec_id, and theirs with the score."""
+
+    def search(resident: list, block: tuple) -> Iterator[pa.RecordBatch]:
+        (rows, names), asked = block
+        floor = np.full(len(rows), -np.inf)
+        none = np.zeros(0, dtype=np.int64)
+        q, held, score = none, none, none
+        for (own, ids), vectors in resident:
+            kind = exact_kind(asked, vectors)
+            at, c, s = search_block(as_kind(asked, kind), np.ascontiguousarray(as_kind(vectors, kind).T), floor)
+            s = s if kind is object else s.astype(np.int64)  # blocks of floats and of larger integers meet here
+            other = own[c] != rows[at]
+            q, held, score = (np.concatenate(x) for x in ((q, at[other]), (held, ids[c][other]), (score, s[other])))
+            top = best(q, held, score, k)
+            q, held, score = q[top], held[top], score[top]
+            full = np.bincount(q, minlength=len(rows)) >= k
+            lowest = np.full(len(rows), np.inf)
+            np.minimum.at(lowest, q, score.astype(np.float64))
+            floor = np.where(full, lowest, -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[q]), pa.array(names[q]), pa.array(held), decimals(score)], ["row", "query_id", "vec_id", "score"]
+        )
+
+    return search
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, slices_: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
-    Components become floor(64 x); one that then has no 64 bits is an error, as is a
-    score of the result that has none. A null vec_id or vector, and null or non-finite
-    components, take no part; vectors meet those of their own width. Rows with the
-    query's vec_id are its own and no candidates; a vec_id repeated among the
-    queries is searched once (its first vector in sort order); repeated candidates
-    are all kept. Ties go to the smaller vec_id. An empty table gives no rows.
-
-    Candidates are packed into vertical blocks, dealt out to slices; each block of
-    queries visits each slice, where a task streams the slice's blocks and keeps a
-    running top k per query, whose k-th score is the floor for the bounds. Only k
-    rows per query and slice are merged.
+    Components become floor(64 x), whole numbers of any size. A null vec_id or vector, and null
+    or non-finite components, take no part; vectors meet those of their own width. A
+    query's candidates are all rows but its own: repeated rows are candidates of each other, and
+    each repeated query has its rows. Ties go to the smaller vec_id. Scores are exact; those beyond 64 bits are
+    ranked exactly up to 38 digits and told as the largest or smallest long. An empty table gives no rows.
+
+    Rows are dealt to slices once; blocks of queries are sent to every slice (:func:`visit`), where
+    blocks of dimensions are added up and a running top k gives the floor for the bounds. Only
+    k rows per query and slice are merged.
     """
-    spark = vectors.sparkSession
-    slices_ = slices_ or partitions(spark)
-    scaled = F.transform(
-        "embedding",
-        lambda x: F.when(F.abs(x.cast("double")) < float((1 << 63) // SCALE), F.floor(x.cast("double") * SCALE)).otherwise(
-            F.raise_error(F.lit("a component times 64 does not fit into 64 bits")).cast("long")
-        ),
-    )
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.cast("array<long>").alias("vector"))
-    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries = packed_blocks(asked, QUERIES_IN_BLOCK).withColumn("q", F.xxhash64("ids"))
-    blocks = packed_blocks(rows, ROWS_IN_BLOCK).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices_)).cast("int"))
-    visits = queries.select(
-        "width", "q", F.explode(F.sequence(F.lit(0), F.lit(slices_ - 1))).alias("slice"), F.lit(0).alias("kind"), "ids", "values_"
-    )
-    numbers = queries.select(F.col("width").alias("w"), "q")
-    dealt = blocks.join(numbers, blocks.width == numbers.w)
-    dealt = dealt.select("width", "q", "slice", F.lit(1).alias("kind"), "ids", "values_")
-    both = visits.unionByName(dealt).repartition(slices_, "q", "slice").sortWithinPartitions("q", "slice", "kind", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: tuple | None = None
-
-        def found() -> Iterator[pa.RecordBatch]:
-            if state is not None and len(state[3]):
-                names, _, _, q, ids, score = state
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[q]), pa.array(ids), decimals(score)], ["query_id", "vec_id", "score"]
-                )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype=np.int64)
-                values = np.frombuffer(row["values_"], dtype=np.int64).reshape(row["width"], -1)
-                if row["kind"] == 0:
-                    yield from found()
-                    none = np.zeros(0, dtype=np.int64)
-                    state = (ids, values.T, np.full(len(ids), -np.inf), none, none, none)
-                    continue
-                names, asked_, floor, q, held, score = state
-                exact = float(np.abs(values).max(initial=0)) * float(np.abs(asked_).max(initial=0)) * row["width"]
-                kind = np.float64 if exact < 2**52 else np.int64 if exact < 2**62 else object
-                at, c, s = search_block(asked_.astype(kind), values.astype(kind), floor)
-                s = s if kind is object else s.astype(np.int64)  # blocks of floats and of larger integers meet here
-                other = ids[c] != names[at]
-                q, held, score = (np.concatenate(x) for x in ((q, at[other]), (held, ids[c][other]), (score, s[other])))
-                top = best(q, held, score, k)
-                q, held, score = q[top], held[top], score[top]
-                full = np.bincount(q, minlength=len(names)) >= k
-                lowest = np.full(len(names), np.inf)
-                np.minimum.at(lowest, q, score.astype(np.float64))
-                state = (names, asked_, np.where(full, lowest, -np.inf), q, held, score)
-        yield from found()
-
-    partial = both.mapInArrow(tidy(run), "query_id long, vec_id long, score decimal(38,0)")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = vectors.filter(F.col("vec_id").isNotNull() & finite("embedding")).select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"), scaled("embedding", SCALE).alias("vector"),
+    )
+    rows = stage(rows)  # so that row numbers stay what they are
+    names = ["row", "vec_id"]
+    partial = visit(rows, names, rows.filter("asks"), names, searched(k), "row long, query_id long, vec_id long, score decimal(38,0)", slices=slices_)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    fits = F.col("score").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
-    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit into 64 bits")).cast("long"))
-    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
+    most = F.lit(Decimal(2**63 - 1))
+    return ranked.select("query_id", "rank", "vec_id", F.greatest(F.least("score", most), -most).cast("long").alias("score"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,17 +148,17 @@ QUERIES = {"op9_topk_search": op9_topk_search}
 ORACLES = {
     "op9_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NOT NULL AND isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_aggregate(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2]), 'sum') AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.own <> c.own
   WHERE q.vec_id % 20 = 0 AND len(q.vector) = len(c.vector)
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,

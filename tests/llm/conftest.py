@@ -17,7 +17,7 @@ def odd_docs(spark):
     frame = spark.createDataFrame(rows, kinds)
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit("x") for c in ("part", "row", "base", "total", "ids", "n", "u", "rate", "copy", "token", "lines", "words", "score")}
+    clash = {c: F.lit("x") for c in ("part", "row", "base", "total", "ids", "n", "u", "rate", "copy", "token", "lines", "words", "score", "my col", "a.b", "back`tick")}
     return frame.withColumns(clash)
 
 

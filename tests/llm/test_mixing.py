@@ -76,3 +76,18 @@ def test_documents_without_id_are_drawn_one_by_one(spark):
     # a rate of a third: the one draw of the word null let all of them go
     assert abs(len(out) - 1000) < 130 and len({r.copies for r in out}) > 1
     assert len({r.shuffle_key for r in out}) == len(out)
+
+
+def test_weights_of_several_columns(spark):
+    """Groups by two columns, one of them with a null and one without weight, at rates that an expression gives."""
+    rows = [(i, "x", f"s{i % 3}", None if i % 2 else "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `my lang.a` string")
+    weights = F.col("n") * F.when(F.col("source") == "s0", 0.0).when(F.col("`my lang.a`").isNull(), 4.0).otherwise(1.0)
+    got = {(r[0], r[1]): r[2] for r in mix(docs, weights, by=("source", "my lang.a")).groupBy("source", "`my lang.a`").count().collect()}
+    assert set(got) == {("s1", None), ("s1", "en"), ("s2", None), ("s2", "en")}
+    assert all(abs(got[s, None] - 2400) < 250 and abs(got[s, "en"] - 600) < 130 for s in ("s1", "s2"))
+
+
+def test_a_rate_of_many_thousands_takes_steps_in_proportion(spark):
+    rows = [(0, "a", "one")] + [(i, "b", "rest") for i in range(1, 3)]
+    assert abs(mix(frame(spark, rows), {"one": 1.0}, size=20_000).count() - 60_000) < 1500

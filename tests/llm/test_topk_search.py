@@ -7,13 +7,14 @@ from tabloom.llm.topk_search import op9_topk_search, search_block, top_k
 
 
 def brute(rows, ask, k):
+    """All pairs of rows; every row but the query's own is a candidate."""
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in ok if ask(i)}):
-        own = min(v for i, v in ok if i == q)
-        found = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in ok if i != q and len(v) == len(own))[:k]
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
-    return out
+    for own, (q, asked) in enumerate(ok):
+        if ask(q):
+            found = sorted((-sum(a * b for a, b in zip(asked, v)), i) for n, (i, v) in enumerate(ok) if n != own and len(v) == len(asked))[:k]
+            out += [(q, n, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for n, (s, i) in enumerate(found, 1)]
+    return sorted(out)
 
 
 def test_all_queries(spark, sf):
@@ -65,3 +66,20 @@ def test_bounds_of_integers_beyond_the_floats():
         a, b, s = search_block(q, c, floor)
         want = sorted((i, j, scores[i, j]) for i in range(5) for j in range(300) if float(scores[i, j]) >= floor[i])
         assert sorted(zip(a.tolist(), b.tolist(), s.tolist())) == want
+
+
+def test_components_beyond_64_bits_are_searched(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(30)] + [(40, [3e17, 0.0, 1.0]), (41, [1e16, 1.0, 0.0]), (60, [-2e16, 1.0, 2.0]), (61, [1e15, 5.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(frame, F.col("vec_id") % 20 == 0, k=5).collect())) == brute(rows, lambda i: i % 20 == 0, 5)
+    # beyond 38 digits scores tie
+    far = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [1e29]), (20, [-1e30])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in top_k(far, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 20]
+
+
+def test_rows_move_once_and_queries_to_each_slice(spark):
+    """The plan has no join that sends rows to blocks of queries: one exchange takes both."""
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    plan = top_k(frame, F.col("vec_id") % 20 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and plan.count("Join") == 2 and plan.count("RepartitionByExpression") == 1
