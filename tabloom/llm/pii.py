@@ -3,13 +3,15 @@
 The field labels words that hold a digit or an at sign; all other words can only
 be outside, so a text falls apart into short runs of such words, which are decoded
 on their own with the outside label around them: the same labels as over the whole
-text. It is trained from a small labelled table and decoded by Viterbi, all runs of
-a batch side by side in numpy.
+text. It is trained from a small labelled table, most of it generated by rule, and decoded by
+Viterbi, all runs of a batch side by side in numpy. It also decides where one value of a run
+ends and the next begins, which the patterns cannot tell.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from bisect import bisect_right
@@ -192,11 +194,15 @@ def fit_field(rows: list[np.ndarray], states: list[np.ndarray], penalty: float =
     for r, s in zip(rows, states, strict=True):
         by_length.setdefault(len(s), []).append((r, s))
     groups = [(np.stack([r for r, _ in g]), np.stack([s for _, s in g])) for g in by_length.values()]
+    # the features of all words in the order in which the loops below meet them
+    flat = np.concatenate([features[:, t].ravel() for features, gold in groups for t in range(gold.shape[1])])
+    each = groups[0][0].shape[2]
     first = [np.zeros_like(weights), np.zeros_like(moves)]
     second = [np.zeros_like(weights), np.zeros_like(moves)]
     for step in range(1, steps + 1):
         slope_w, slope_m = -penalty * weights, -penalty * moves
         full = moves + allowed
+        errors = []
         for features, gold in groups:
             n, length = gold.shape
             scores = weights[features].sum(axis=2)
@@ -211,7 +217,7 @@ def fit_field(rows: list[np.ndarray], states: list[np.ndarray], penalty: float =
             for t in range(length):
                 error = -np.exp(ahead[t] + behind[t] - whole[:, None])
                 error[np.arange(n), gold[:, t]] += 1
-                np.add.at(slope_w, features[:, t].ravel(), np.repeat(error, features.shape[2], axis=0))
+                errors.append(error)
                 if t == 0:
                     slope_m[K, :K] += error.sum(axis=0)
                 else:
@@ -220,6 +226,9 @@ def fit_field(rows: list[np.ndarray], states: list[np.ndarray], penalty: float =
                     np.add.at(slope_m, (gold[:, t - 1], gold[:, t]), 1)
                 if t == length - 1:
                     slope_m[:K, K] += error.sum(axis=0)
+        error = np.repeat(np.concatenate(errors), each, axis=0)
+        for k in range(K):
+            slope_w[:, k] += np.bincount(flat, weights=error[:, k], minlength=FEATURES)
         slope_m[~np.isfinite(allowed)] = 0
         slope_m[K, K] = 0
         for k, (value, slope) in enumerate(((weights, slope_w), (moves, slope_m))):
@@ -252,8 +261,66 @@ PLAIN = (
 )
 
 
-def labelled_table(spark: SparkSession) -> DataFrame:
-    """text, spans ("kind:start:end", comma-joined): every value in some of the texts around it."""
+#: Generated rows of the labelled table, and the letters of their words.
+GENERATED, LETTERS = 1200, "abcdefghijklmnopqrstuvwxyz"
+
+
+def personal_value(kind: str, rng: random.Random) -> str:
+    """A random value of a kind in one of its usual forms; ``d`` stands for a digit."""
+
+    def filled(form: str) -> str:
+        return re.sub("d", lambda _: str(rng.randrange(10)), form)
+
+    def word(low: int = 2, high: int = 8) -> str:
+        return "".join(rng.choice(LETTERS) for _ in range(rng.randint(low, high)))
+
+    if kind == "phone":
+        code = str(rng.randint(1, 99))
+        return filled(rng.choice((f"+{code} (ddd) ddd-dddd", f"+{code} dd dddd dddd", f"+{code}-dd-dddddd-dd", f"+{code} ddd ddd dddd", "(ddd) ddd-dddd", "ddd-ddd-dddd", "1-800-ddd-dddd")))
+    if kind == "email":
+        local = word() + rng.choice(("", "." + word(), filled("dd"), "_" + filled("d")))
+        return local + "@" + word(3, 9) + rng.choice(("", "", "." + word(2, 3), filled("d.") + word() + ".com", "-" + word() + ".org"))
+    if kind == "ip":
+        return ".".join(str(rng.randrange(256)) for _ in range(4)) + rng.choice(("", "", f":{rng.randint(80, 9000)}"))
+    digits = filled(rng.choice(("4", "5")) + "d" * rng.choice((14, 14, 14, 13)))
+    digits += next(n for n in "0123456789" if luhn(digits + n))
+    sign = rng.choice(("", " ", "-")) if len(digits) == 16 else ""
+    return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if sign else digits
+
+
+def plain_value(rng: random.Random) -> str:
+    """A random number, date, amount, version or key that is not personal."""
+    form = rng.choice(("d", "dd", "ddd", "dddd", "ddddd", "dddddddd", "ddddddddd", "d.d", "dd.dd", "d,ddd", "dddd-0d-1d", "1d:dd", "dd%", "d.d.d", "no d", "dd/0d/dddd", "(dddd)", "#dd", "xdd", "hex", "long", "d d d"))
+    if form == "hex":
+        return "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(12, 40))) + "7f"
+    if form == "long":
+        digits = "".join(str(rng.randrange(10)) for _ in range(rng.randint(12, 18))) + "0"
+        return digits if not luhn(digits) else digits[:-1] + "1"
+    return re.sub("d", lambda _: str(rng.randrange(10)), form)
+
+
+def generated(count: int, seed: int) -> list[tuple[str, str]]:
+    """Texts with one to four values each, words, numbers and punctuation directly before and behind them, and their spans."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(count):
+        text, spans = "", []
+        for _ in range(rng.randint(1, 4)):
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                text += "".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 9))) + rng.choice((" ", " ", ". ", ", "))
+            kind = rng.choice((*KINDS, "", ""))
+            value = personal_value(kind, rng) if kind else plain_value(rng)
+            if kind:
+                spans.append(f"{kind}:{len(text)}:{len(text) + len(value)}")
+            text += value + rng.choice((" ", " ", " ", ". ", ", ", "! "))
+        for _ in range(rng.choice((0, 2))):
+            text += "".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 9))) + " "
+        rows.append((text.rstrip(), ",".join(spans)))
+    return rows
+
+
+def labelled_table(spark: SparkSession, seed: int = 1) -> DataFrame:
+    """text, spans ("kind:start:end", comma-joined): every fixed value in some of the texts around it, and generated rows."""
     rows = []
     values = [(k, v) for k, vs in VALUES.items() for v in vs] + [("", v) for v in PLAIN]
     for n, (kind, value) in enumerate(values):
@@ -261,7 +328,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
             around = AROUND[(n + 4 * step) % len(AROUND)]
             start = around.index("{}")
             rows.append((around.format(value), f"{kind}:{start}:{start + len(value)}" if kind else ""))
-    return spark.createDataFrame(rows, "text string, spans string")
+    return spark.createDataFrame(rows + generated(GENERATED, seed), "text string, spans string")
 
 
 def fit(labelled: DataFrame) -> Field:
