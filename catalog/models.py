@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.registry import load, query, result
 from tabloom import Table, get_operator
 from tabloom.frame import CLASSIFICATION, REGRESSION, c
@@ -135,3 +137,37 @@ for _name in ("reg_ard", "reg_adaboost", "reg_bagging"):
         return done.df.selectExpr("doc_id", f"round(`{done.prediction}`, 2) + 0.0 AS prediction")
 
     query(f"recovers_{_name}", "SELECT doc_id, CAST(n_chars % 7 AS DOUBLE) * 2 + 1 AS prediction FROM documents")(_recover_target)
+
+
+# One column of two values: the best margins and probabilities of a group are known from its class shares.
+_TWO = "CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0.0 END"
+_SHARES = f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS y, l_quantity > 20 AS g FROM lineitem),
+    s AS (SELECT g, avg((y = 'A')::INT) AS a, avg((y = 'N')::INT) AS n, avg((y = 'R')::INT) AS r FROM r GROUP BY g)"""
+
+
+def _two_groups(spark, sf) -> Table:
+    rows = load(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag AS y", f"CAST({_TWO} AS DOUBLE) AS g")
+    return Table.of(rows, ["l_orderkey", "l_linenumber"], "y", ["g"], CLASSIFICATION)
+
+
+@query(
+    "linear_svc_margins",
+    f"{_SHARES} SELECT l_orderkey, l_linenumber, round(2 * a - 1, 4) + 0.0e0 AS a, round(2 * n - 1, 4) + 0.0e0 AS n, round(2 * s.r - 1, 4) + 0.0e0 AS r FROM r JOIN s USING (g)",
+)
+def q_svc_margins(spark, sf):
+    """Without a penalty of weight, squared hinge puts a group's margin at twice its class share minus one."""
+    t = _two_groups(spark, sf)
+    fitted = get_operator("clf_linear_svc", C=1e4, tolerance=1e-9).fit(t)
+    margins = fitted.operator.margins(t, fitted.state)
+    return t.df.select("l_orderkey", "l_linenumber", *[(F.round(m, 4) + 0.0).alias(n) for m, n in zip(margins, "anr")])
+
+
+@query(
+    "logistic_cv_shares",
+    f"{_SHARES} SELECT l_orderkey, l_linenumber, round(a, 4) + 0.0e0 AS a, round(n, 4) + 0.0e0 AS n, round(s.r, 4) + 0.0e0 AS r FROM r JOIN s USING (g)",
+)
+def q_logistic_shares(spark, sf):
+    """Without a penalty of weight, a logistic fit gives a group its class shares."""
+    t = _two_groups(spark, sf)
+    out = get_operator("clf_logistic_regression_cv", grid=[1e6], tolerance=1e-9).fit_transform(t)
+    return out.df.select("l_orderkey", "l_linenumber", *[(F.round(c(f), 4) + 0.0).alias(n) for f, n in zip(out.features, "anr")])

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, first_max
-from tabloom.functions.stats import class_index, classes, means, number_columns, number_matrix, one_row
+from tabloom.functions.stats import class_index, classes, number_columns, number_matrix, one_row
 from tabloom.operators.base import register
 from tabloom.operators.learner import Classifier
+from tabloom.operators.newton import Problem, Solution, packed, solve, squared_hinge
 from tabloom.operators.trees import IDX, VEC, indexed
 from tabloom.sources.splits import kfold
 
@@ -111,32 +112,62 @@ class SgdLog(LogisticRegression):
 
 @register
 class LinearSvc(_OneVsRest):
-    """Hinge loss with C = 1; predictions only, as one-hot columns."""
+    """Squared hinge loss with C = 1, all classes in one set of passes; predictions only, as one-hot columns.
+
+    The intercept is penalised like the weights. ``gradient`` in the state is the largest norm of a class's
+    gradient over its norm at zero weights; a fit that ends above ``tolerance`` warns and has ``converged`` false.
+    """
 
     name = "clf_linear_svc"
     title = "LinearSVC"
 
-    def binary(self, data, rows):
-        fit = MlLinearSVC(
-            featuresCol=VEC, labelCol=IDX, regParam=1.0 / rows, standardization=False, maxIter=100
-        ).fit(data)
-        return _coefficients(fit)
+    def learn(self, t):
+        labels = classes(t)
+        targets = [1] if len(labels) == 2 else list(range(len(labels)))
+        problems = [Problem(self.params.get("C", 1.0), -1, k) for k in targets]
+        rows, mean, scale = standard(t)
+        blocks = packed(t.df.select(*number_columns(t, t.features), class_index(t, labels).alias("k"), F.lit(0).alias("fold")).where("k is not null"), mean, scale)
+        try:
+            found = solve(blocks, rows, problems, mean, scale, squared_hinge, True, self.params.get("tolerance", 1e-6), self.params.get("max_steps", 100))
+        finally:
+            blocks.unpersist()
+        return {"labels": labels, **original(found, mean, scale)}
 
     def apply(self, t, state):
         return self.one_hot_apply(t, state)
 
 
+def standard(t: Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and deviations of the features in one aggregate; a constant feature has deviation 1."""
+    aggregates = {f"{kind} {n}": how(t.number(n)) for n in t.features for kind, how in (("m", F.avg), ("s", F.stddev_pop))}
+    row = one_row(t.df, {"n": F.count("*"), **aggregates})
+    return row["n"], np.array([row[f"m {n}"] or 0.0 for n in t.features]), np.array([row[f"s {n}"] or 1.0 for n in t.features])
+
+
+def original(found: Solution, mean: np.ndarray, scale: np.ndarray) -> dict:
+    """State of a solution: weights and intercepts for features that are not standardised."""
+    weights = found.weights[:, :-1] / scale
+    bias = found.weights[:, -1] - weights @ mean
+    return {"weights": weights.tolist(), "bias": bias.tolist(), "gradient": float(found.gradient.max()), "steps": found.steps, "converged": found.converged}
+
+
 @register
-class SvcRbf(LinearSvc):
+class SvcRbf(_OneVsRest):
     """Approximate RBF machine: random Fourier features (Rahimi & Recht 2007).
 
-    gamma = 1 / features. A linear machine on the cosine features gives the
+    gamma = 1 / features. A linear machine of hinge loss on the cosine features gives the
     margin, and a logistic fit on the margin gives probabilities.
     """
 
     name = "clf_svc_rbf"
     title = "SVC"
 
+    def binary(self, data, rows):
+        fit = MlLinearSVC(
+            featuresCol=VEC, labelCol=IDX, regParam=1.0 / rows, standardization=False, maxIter=100
+        ).fit(data)
+        return _coefficients(fit)
+
     def _wide(self, t: Table, draw: dict) -> Table:
         size = len(draw["shift"])
         angles = affine([t.number(n) for n in t.features], np.array(draw["w"]), np.array(draw["shift"]))
@@ -197,10 +228,9 @@ def _platt(data: DataFrame) -> tuple[float, float]:
 class LogisticRegressionCV(_OneVsRest):
     """C from 10 values in 1e-4..1e4 by 3-fold accuracy.
 
-    All (C, fold, class) problems take their Newton steps together: one Arrow
-    pass per step sums the gradients and Hessians of all of them, so the number
-    of passes does not grow with the grid. Features are standardised for the
-    solver's sake; the penalty still acts on the original scale.
+    All (C, fold, class) problems take their trust-region Newton steps in the same passes, and no pass makes a
+    matrix of features by features. Features are standardised for the solver's sake; the penalty still acts on the
+    original scale. ``gradient`` and ``converged`` in the state tell how the last fits ended.
     """
 
     name = "clf_logistic_regression_cv"
@@ -209,96 +239,48 @@ class LogisticRegressionCV(_OneVsRest):
 
     def learn(self, t):
         labels, folds = classes(t), 3
-        n, mean = means(t, list(t.features))
-        row = one_row(t.df, {name: F.stddev_pop(t.number(name)) for name in t.features})
-        scale = np.array([row[name] or 1.0 for name in t.features])
+        grid = sorted(self.params.get("grid", self.grid))
+        rows, mean, scale = standard(t)
         folded = kfold(t, folds)
-        xs = number_columns(t, t.features)
-        data = folded.df.select(*xs, class_index(t, labels).alias("k"), "fold").where("k is not null").persist()
+        blocks = packed(folded.df.select(*number_columns(t, t.features), class_index(t, labels).alias("k"), "fold").where("k is not null"), mean, scale)
         targets = [1] if len(labels) == 2 else list(range(len(labels)))
         try:
-            problems = [(c_, f, k) for c_ in self.grid for f in range(folds) for k in targets]
-            fits = _newton(data, problems, mean, scale)
-            hits = self._fold_hits(data, problems, fits, mean, scale, targets, labels)
-            best = max(self.grid, key=lambda c_: (hits[c_], -c_))
-            final = [(best, -1, k) for k in targets]
-            w = _newton(data, final, mean, scale)
+            best = grid[0]
+            if len(grid) > 1:
+                problems = [Problem(c_, f, k) for c_ in grid for f in range(folds) for k in targets]
+                # accuracy of the left-out fold does not need the last digits
+                fits = solve(blocks, rows, problems, mean, scale, tolerance=self.params.get("search_tolerance", 1e-2))
+                hits = self._fold_hits(blocks, problems, fits.weights, len(labels))
+                best = max(grid, key=lambda c_: (hits[c_], -c_))
+            final = [Problem(best, -1, k) for k in targets]
+            found = solve(blocks, rows, final, mean, scale, tolerance=self.params.get("tolerance", 1e-6))
         finally:
-            data.unpersist()
-        weights = w[:, :-1] / scale
-        bias = w[:, -1] - weights @ mean
-        return {"labels": labels, "weights": weights.tolist(), "bias": bias.tolist(), "C": best}
+            blocks.unpersist()
+        return {"labels": labels, **original(found, mean, scale), "C": best}
 
     @staticmethod
-    def _fold_hits(data, problems, fits, mean, scale, targets, labels) -> dict[float, float]:
-        """Left-out accuracy of every C in one pass."""
-        grid = sorted({p[0] for p in problems})
-        held = {(c_, f): np.array([fits[problems.index((c_, f, k))] for k in targets]) for c_, f, _ in problems}
+    def _fold_hits(blocks: DataFrame, problems: list[Problem], fits: np.ndarray, classes_: int) -> dict[float, float]:
+        """Mean left-out accuracy of every C in one pass."""
+        held: dict[tuple[float, int], list] = {}
+        for q, w in zip(problems, fits):
+            held.setdefault((q.C, q.skip), []).append(w)
+        width = fits.shape[1]
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for f, part in pdf.groupby("fold"):
-                    z = (number_matrix(part, len(mean)) - mean) / scale
-                    z = np.hstack([z, np.ones((len(z), 1))])
-                    k = part["k"].to_numpy()
-                    for c_ in grid:
-                        m = z @ held[c_, f].T
-                        guess = (m[:, 0] > 0).astype(int) if len(labels) == 2 else m.argmax(axis=1)
-                        yield pd.DataFrame({"c": [c_], "fold": [int(f)], "hit": [int((guess == k).sum())], "n": [len(k)]})
-
-        sums = data.mapInPandas(count, "c double, fold int, hit bigint, n bigint").groupBy("c", "fold").agg(
+                for x, k, fold in zip(pdf["x"], pdf["k"], pdf["fold"]):
+                    x, k, fold = np.frombuffer(x).reshape(-1, width), np.frombuffer(k, np.int32), np.frombuffer(fold, np.int32)
+                    out = []
+                    for (c_, f), w in held.items():
+                        m = x[fold == f] @ np.array(w).T
+                        guess = (m[:, 0] > 0).astype(int) if classes_ == 2 else m.argmax(axis=1)
+                        out.append((c_, f, int((guess == k[fold == f]).sum()), len(guess)))
+                    yield pd.DataFrame(out, columns=["c", "fold", "hit", "n"])
+
+        sums = blocks.mapInPandas(count, "c double, fold int, hit bigint, n bigint").groupBy("c", "fold").agg(
             (F.sum("hit") / F.sum("n")).alias("acc")
         )
-        return {r["c"]: r["acc"] for r in sums.groupBy("c").agg(F.avg("acc").alias("acc")).collect()}
-
-
-def _newton(data: DataFrame, problems: list[tuple], mean: np.ndarray, scale: np.ndarray, steps: int = 15) -> np.ndarray:
-    """Penalised logistic fits of (C, left-out fold, class) problems, all in step."""
-    p = len(mean) + 1
-    m = len(problems)
-    penalty = np.array([np.append(1.0 / (c_ * scale**2), 0.0) for c_, _, _ in problems])
-    skip = np.array([f for _, f, _ in problems])
-    target = np.array([k for _, _, k in problems])
-    w = np.zeros((m, p))
-    for _ in range(steps):
-        at = w.copy()
-
-        def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            grad, hess = np.zeros((m, p)), np.zeros((m, p, p))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                z = (number_matrix(pdf, len(mean)) - mean) / scale
-                z = np.hstack([z, np.ones((len(z), 1))])
-                k, fold = pdf["k"].to_numpy(), pdf["fold"].to_numpy()
-                for i in range(m):
-                    use = fold != skip[i]
-                    zi = z[use]
-                    q = 1 / (1 + np.exp(-np.clip(zi @ at[i], -500, 500)))
-                    grad[i] += zi.T @ ((k[use] == target[i]) - q)
-                    hess[i] += (zi * (q * (1 - q))[:, None]).T @ zi
-            yield pd.DataFrame({"s": [np.concatenate([grad.ravel(), hess.ravel()])]})
-
-        cells = (
-            data.mapInPandas(block, "s array<double>")
-            .select(F.posexplode("s").alias("i", "s"))
-            .groupBy("i")
-            .agg(F.sum("s").alias("s"))
-        )
-        total = np.zeros(m * p + m * p * p)
-        for r in cells.collect():  # problems * features^2 numbers
-            total[r["i"]] = r["s"]
-        grad = total[: m * p].reshape(m, p) - penalty * w
-        hess = total[m * p :].reshape(m, p, p)
-        change = np.zeros_like(w)
-        for i in range(m):
-            h = hess[i] + np.diag(penalty[i] + 1e-9)
-            change[i] = np.linalg.solve(h, grad[i])
-        size = np.abs(change).max(axis=1, keepdims=True)
-        w = w + change * np.minimum(1.0, 5.0 / np.maximum(size, 1e-300))
-        if size.max() < 1e-6:
-            break
-    return w
+        return {r["c"]: r["acc"] or 0.0 for r in sums.groupBy("c").agg(F.avg("acc").alias("acc")).collect()}
 
 
 @register
