@@ -71,8 +71,19 @@ def q_pca_wide(spark, sf):
 
 @query("pca_sketch")
 def q_pca_sketch(spark, sf):
-    """The range finder that serves tables too wide for p x p moments."""
-    return result(get_operator("pca_randomized", direct_width=32, components=8).fit_transform(embeddings(spark, sf)))
+    """Eight leading axes of 64 by block subspace iteration."""
+    return result(get_operator("pca_randomized", components=8).fit_transform(embeddings(spark, sf)))
+
+
+@query(
+    "pca_sketch_norms",
+    f"""WITH long AS ({EMBEDDING_LONG_SQL}), m AS (SELECT i, avg(x) AS m FROM long GROUP BY i)
+    SELECT vec_id, {r6('sum(pow(x - m, 2))', 'norm')} FROM long JOIN m USING (i) GROUP BY vec_id""",
+)
+def q_pca_sketch_norms(spark, sf):
+    """All 64 axes, from the triangle of a tall-skinny QR, keep every centred row's length."""
+    out = get_operator("pca_randomized").fit_transform(embeddings(spark, sf))
+    return rounded(out.df.select("vec_id", _squares(out).alias("norm")))
 
 
 @query("fast_ica")

@@ -7,16 +7,17 @@ driver and the projection is a set of column expressions.
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.frame import Table
 from tabloom.functions.linear import affine, whitening
-from tabloom.functions.stats import Moments, means, moments, number_columns, number_matrix
+from tabloom.functions.stats import Moments, moments, number_columns, number_matrix
 from tabloom.operators.base import Operator, register
 from tabloom.session import cut_lineage
 
@@ -102,43 +103,133 @@ class KernelPca(PcaFull):
 
 
 @register
-class PcaRandomized(PcaFull):
-    """Range finder for wide tables (Halko, Martinsson & Tropp 2011).
-
-    Up to ``direct_width`` columns the p x p moments are cheaper than a sketch.
-    Beyond it each pass computes sum x (x . q) for a p x l sketch ``q``, so
-    neither the driver nor a task holds a p x p matrix.
+class PcaRandomized(_Projection):
+    """Block subspace iteration from a random start (Halko, Martinsson & Tropp 2011).
+
+    Each pass computes sum x (x . q) for a p x l block ``q``, so neither the driver nor a task holds a p x p
+    matrix. Passes go on until the leading axes stand still to ``tol`` or for ``passes``; ``converged`` in the
+    state tells which. The last pass projects the rows: ``solver="gram"`` takes the l x l moments of the projected
+    rows, ``solver="qr"`` (the default) the triangle of a tall-skinny QR, reduced in tasks and then pairwise in
+    groups of tasks, which keeps small variances that squares would lose. Axes, mean, variance and ratio are the
+    same kind of state at every width.
     """
 
     name = "pca_randomized"
     suffix = "_pcarndmzd"
-    direct_width = 512
+    oversample = 10
 
     def size(self, n, p):
         return min(n, p, self.params.get("components", p))
 
     def learn(self, t):
         p = len(t.features)
-        if p <= self.params.get("direct_width", self.direct_width):
-            return super().learn(t)
-        n, mean = means(t, list(t.features))
+        solver = self.params.get("solver", "qr")
+        if solver not in ("qr", "gram"):
+            raise ValueError(f"pca_randomized: no solver {solver!r}")
+        data = numbers(t)
+        n, mean, total = _spread(data)
         k = self.size(n, p)
-        width = min(p, k + 10)
+        width = min(p, k + self.oversample)
         q = np.linalg.qr(np.random.default_rng(self.params.get("seed", 0)).standard_normal((p, width)))[0]
-        for _ in range(self.params.get("passes", 4)):
-            q = np.linalg.qr(_gram_product(t, mean, q))[0]
-        small = q.T @ _gram_product(t, mean, q)
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        order = np.argsort(values)[::-1][:k]
-        variance = np.clip(values[order], 0, None) / max(n - 1, 1)
-        axes = fix_signs((q @ vectors[:, order]).T)
-        return {"axes": axes.tolist(), "mean": mean.tolist(), "variance": variance.tolist()}
+        converged, passes = width == p, 0
+        while not converged and passes < self.params.get("passes", 50):
+            product = _gram_product(data, mean, q)
+            small = q.T @ product
+            _, vectors = np.linalg.eigh((small + small.T) / 2)
+            ritz = vectors[:, ::-1][:, :k]
+            # what the block leaves out of the leading axes' images, over the largest image
+            left = product @ ritz - q @ (small @ ritz)
+            converged = bool(np.linalg.norm(left, axis=0).max() <= self.params.get("tol", 1e-9) * max(np.linalg.norm(small, 2), 1e-300))
+            q = np.linalg.qr(product)[0]
+            passes += 1
+        if not converged:
+            warnings.warn(f"pca_randomized: axes still moved after {passes} passes", stacklevel=2)
+        if solver == "qr":
+            _, values, turn = np.linalg.svd(tall_skinny_r(data, mean, q))
+            variance, axes = values**2, turn @ q.T
+        else:
+            small = q.T @ _gram_product(data, mean, q)
+            values, vectors = np.linalg.eigh((small + small.T) / 2)
+            variance, axes = np.clip(values[::-1], 0, None), (q @ vectors[:, ::-1]).T
+        variance = variance[:k] / max(n - 1, 1)
+        total = total / max(n - 1, 1) or 1.0
+        return {
+            "axes": fix_signs(axes[:k]).tolist(),
+            "mean": mean.tolist(),
+            "variance": variance.tolist(),
+            "ratio": (variance / total).tolist(),
+            "passes": passes,
+            "converged": converged,
+        }
+
+
+def _spread(data: DataFrame) -> tuple[int, np.ndarray, float]:
+    """Rows, means, and the sum of squared deviations of all features, in two Arrow passes: no expression grows with the width."""
+    p = len(data.columns)
+    sums = _sum_arrays(data, p + 1, lambda x: np.append(x.sum(axis=0), len(x)))
+    n, mean = int(sums[-1]), sums[:-1] / max(sums[-1], 1.0)
+    return n, mean, float(_sum_arrays(data, 1, lambda x: np.array([((x - mean) ** 2).sum()]))[0])
+
+
+#: Triangles that one task stacks and reduces.
+FAN_IN = 16
 
 
-def _sum_arrays(t: Table, width: int, block) -> np.ndarray:
-    """Sum over all rows of ``block(x)``: per-partition sums, then a keyed aggregate."""
-    p = len(t.features)
-    data = t.df.select(*number_columns(t, t.features))
+def tall_skinny_r(data: DataFrame, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The triangle R of the centred rows times ``q``: R'R are their l x l moments.
+
+    A task reduces its batches to one triangle; triangles are stacked ``FAN_IN`` at a time until one is left, so
+    no task and not the driver holds more than that many, whatever the number of partitions.
+    """
+    p, width = q.shape
+
+    def merged(held: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(held, mode="r")
+        return np.vstack([r, np.zeros((width - len(r), width))]) if len(r) < width else r
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, width))
+        for pdf in batches:
+            if len(pdf):
+                r = merged(np.vstack([r, (number_matrix(pdf, p) - mean) @ q]))
+        if len(r):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.tobytes()]})
+
+    def stack(rows: pd.DataFrame) -> pd.DataFrame:
+        r = np.zeros((0, width))
+        for other in rows.sort_values("part")["r"]:
+            r = merged(np.vstack([r, np.frombuffer(other).reshape(width, width)]))
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // FAN_IN], "r": [r.tobytes()]})
+
+    first = data.mapInPandas(partial, "part int, r binary").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        last = first.agg(F.max("part")).first()[0]
+        if last is None:
+            return np.zeros((width, width))
+        parts, count = first, last + 1
+        while count > 1:
+            parts = parts.groupBy(F.floor(F.col("part") / FAN_IN).alias("g")).applyInPandas(stack, "part int, r binary")
+            count = -(-count // FAN_IN)
+        (row,) = parts.collect()  # one triangle
+    finally:
+        first.unpersist()
+    return np.frombuffer(row["r"]).reshape(width, width)
+
+
+def numbers(t: Table) -> DataFrame:
+    """The features as doubles __x0.., built once for all passes: as text, since wide tables are slow to build call by call."""
+    kinds = {f.name: f.dataType for f in t.df.schema.fields}
+    cells = []
+    for i, name in enumerate(t.features):
+        value = f"CAST(`{name.replace('`', '``')}` AS DOUBLE)"
+        floating = isinstance(kinds[name], (T.DoubleType, T.FloatType))
+        cells.append(f"{f'nanvl({value}, CAST(NULL AS DOUBLE))' if floating else value} AS __x{i}")
+    return t.df.selectExpr(*cells)
+
+
+def _sum_arrays(data: DataFrame, width: int, block) -> np.ndarray:
+    """Sum over all rows of ``block(x)``: per-partition sums, then a keyed aggregate. ``data`` comes from ``numbers``."""
+    p = len(data.columns)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -161,12 +252,12 @@ def _sum_arrays(t: Table, width: int, block) -> np.ndarray:
     return out
 
 
-def _gram_product(t: Table, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _gram_product(data: DataFrame, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
     def block(x):
         centred = x - mean
         return centred.T @ (centred @ q)
 
-    return _sum_arrays(t, q.size, block).reshape(q.shape)
+    return _sum_arrays(data, q.size, block).reshape(q.shape)
 
 
 @register
@@ -204,9 +295,10 @@ class FastIca(_Projection):
         z = t.derive({f"z{i}": col for i, col in enumerate(affine(x, white, np.zeros(k)))})
         kept = z.df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            data = numbers(z.with_df(kept))
             w = _decorrelate(np.random.default_rng(self.params.get("seed", 0)).standard_normal((k, k)))
             for step in range(self.params.get("max_iter", 200)):
-                new = _decorrelate(self._step(z.with_df(kept), w, m.n))
+                new = _decorrelate(self._step(data, w, m.n))
                 moved = np.max(np.abs(np.abs(np.sum(new * w, axis=1)) - 1))
                 w = new
                 if moved < self.params.get("tol", 1e-4):
@@ -216,14 +308,14 @@ class FastIca(_Projection):
         return {"axes": (w @ white).tolist(), "mean": m.mean.tolist(), "iterations": step + 1}
 
     @staticmethod
-    def _step(z: Table, w: np.ndarray, n: int) -> np.ndarray:
+    def _step(data: DataFrame, w: np.ndarray, n: int) -> np.ndarray:
         k = len(w)
 
         def block(rows):
             g = np.tanh(rows @ w.T)
             return np.concatenate([(g.T @ rows).ravel(), (1 - g * g).sum(axis=0)])
 
-        total = _sum_arrays(z, k * k + k, block) / n
+        total = _sum_arrays(data, k * k + k, block) / n
         return total[: k * k].reshape(k, k) - total[k * k :][:, None] * w
 
 

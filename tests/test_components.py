@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tabloom import get_operator
+from tabloom import Table, get_operator
 from tests.helpers import blobs, collect, table
 
 
@@ -28,14 +28,42 @@ def test_components_rebuild_the_rows_and_fix_the_sign(spark):
     assert np.allclose(matrix(f.transform(t)) @ axes + mean, x)
 
 
-def test_sketch_finds_the_leading_axes(spark):
+@pytest.mark.parametrize("p,solver", [(40, "qr"), (40, "gram"), (600, "qr")])
+def test_leading_axes_at_any_width(spark, p, solver):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((200, 3)) @ rng.standard_normal((3, 30)) * 5 + 0.01 * rng.standard_normal((200, 30))
-    names = [f"f{i}" for i in range(30)]
-    t = table(spark, [(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in names))
-    exact = np.array(get_operator("pca_full").fit(t).state["axes"])[:3]
-    sketch = np.array(get_operator("pca_randomized", direct_width=8, components=3).fit(t).state["axes"])
-    assert np.allclose(np.abs((exact * sketch).sum(axis=1)), 1, atol=1e-6)
+    x = rng.standard_normal((300, 3)) @ rng.standard_normal((3, p)) * [5] + 0.01 * rng.standard_normal((300, p)) + 7
+    schema = "id int, x array<double>"
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], schema).repartition(3)
+    names = [f"f{i}" for i in range(p)]
+    t = Table.of(rows.selectExpr("id", *[f"x[{i}] AS {n}" for i, n in enumerate(names)]), "id", None, names)
+    state = get_operator("pca_randomized", components=3, solver=solver).fit(t).state
+    centred = x - x.mean(axis=0)
+    values, axes = np.linalg.svd(centred)[1:]
+    assert state["converged"]
+    assert np.allclose(np.abs((axes[:3] * np.array(state["axes"])).sum(axis=1)), 1, atol=1e-6)
+    assert np.allclose(state["variance"], values[:3] ** 2 / 299, rtol=1e-6)
+    assert np.allclose(state["ratio"], values[:3] ** 2 / (values**2).sum(), rtol=1e-6)
+
+
+def test_triangle_keeps_small_variances_and_any_partitioning(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 2)) @ np.diag([1.0, 1e-9]) @ np.linalg.qr(rng.standard_normal((2, 2)))[0]
+    found = []
+    for parts in (1, 20):
+        t = table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+        state = get_operator("pca_randomized").fit(t.with_df(t.df.repartition(parts))).state
+        found.append(state["variance"][1])
+    exact = np.linalg.svd(x - x.mean(axis=0))[1][1] ** 2 / 199
+    assert np.allclose(found, exact, rtol=1e-4, atol=0)
+
+
+def test_moving_axes_are_reported(spark):
+    t, _, _ = blobs(spark, p=20, gap=0.1)
+    with pytest.warns(UserWarning, match="still moved"):
+        state = get_operator("pca_randomized", components=2, passes=1).fit(t).state
+    assert not state["converged"]
+    with pytest.raises(ValueError):
+        get_operator("pca_randomized", solver="none").fit(t)
 
 
 def test_truncated_svd_is_not_centred(spark):
