@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import LINE_KEY, keys_sql, load, query, r6, rounded, text_part, wide_sql
 from tabloom import Table
 from tabloom.frame import CLASSIFICATION
-from tabloom.operators.cluster import balanced_assign, balanced_kmeans, kmeans_assign, kmeans_score, kmeans_transform
+from tabloom.operators.cluster import balanced_assign, balanced_kmeans, balanced_swaps, kmeans_assign, kmeans_score, kmeans_transform
 from tabloom.operators.sampling import balanced_undersample, priority_weights, sample_prioritized, sample_uniform
 
 K = keys_sql()
@@ -140,3 +140,22 @@ def q_balanced_kmeans(spark, sf):
     df = load(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 100000 AS a", "o_custkey / 1000 AS b")
     assigned, _ = balanced_kmeans(Table.of(df, "o_orderkey"), 4, max_iter=2)
     return assigned
+
+
+_SWAP_GAPS = [f"pow(o_totalprice / 1000 - {m}, 2)" for m in (100, 150, 200)]
+
+
+@query(
+    "balanced_swap_round",
+    f"""WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS cl, {', '.join(f'{g} AS d{i}' for i, g in enumerate(_SWAP_GAPS))} FROM orders),
+    o AS (SELECT o_orderkey, cl, unnest([0, 1, 2]) AS dest, unnest([d0, d1, d2]) AS g, [d0, d1, d2][cl + 1] AS own FROM d),
+    b AS (SELECT o_orderkey, cl, dest, g - own AS loss, row_number() OVER (PARTITION BY o_orderkey ORDER BY g, dest) AS pick FROM o WHERE dest <> cl),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cl, dest ORDER BY loss, o_orderkey) AS place FROM b WHERE pick = 1)
+    SELECT x.o_orderkey, CASE WHEN x.loss + y.loss < 0 THEN x.dest ELSE x.cl END AS cluster
+    FROM r x LEFT JOIN r y ON x.cl = y.dest AND x.dest = y.cl AND x.place = y.place""",
+)
+def q_swap_round(spark, sf):
+    """One round of swaps from an arbitrary balanced start."""
+    df = load(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice / 1000 AS a")
+    start = df.selectExpr("o_orderkey", "CAST(o_orderkey % 3 AS INT) AS cluster")
+    return balanced_swaps(Table.of(df, "o_orderkey"), start, np.array([[100.0], [150.0], [200.0]]), rounds=1, rows_per_range=2000)

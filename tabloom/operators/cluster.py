@@ -81,8 +81,39 @@ def balanced_assign(t: Table, centres: np.ndarray, rows_per_range: int = ROWS_PE
     return out
 
 
-def balanced_kmeans(t: Table, k: int, max_iter: int = 5, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Equal-size groups: balanced assignment and new means, from k-means centres.
+def swap_round(offers: DataFrame, keys: list[str], k: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """One round of swaps over (keys, cluster, __g: squared distances); sizes stay, inertia does not rise.
+
+    Every row offers itself to the cluster that would gain most (or lose least) by it. The offers from a to b are
+    ranked by gain, as are those from b to a; offers of equal rank are swapped where their gains add up to more
+    than zero. Ranks come from ranges and partners meet on (pair, rank), so a pair of clusters that holds
+    most rows is no single task.
+    """
+    others = F.array(*[F.when(F.col("cluster") != i, F.struct(F.get("__g", F.lit(i)).alias("d"), F.lit(i).alias("i"))) for i in range(k)])
+    best = F.array_min(F.filter(others, lambda o: o.isNotNull()))
+    moved = offers.withColumn("__to", best["i"]).withColumn("__loss", best["d"] - F.get("__g", F.col("cluster")))
+    ranked = cut_lineage(running_total(moved, ["__loss", *keys], ["cluster", "__to"], out="__rank", rows_per_range=rows_per_range))
+    partner = ranked.select(F.col("cluster").alias("__pf"), F.col("__to").alias("__pt"), F.col("__rank").alias("__pr"), F.col("__loss").alias("__pl"))
+    met = (F.col("cluster") == F.col("__pt")) & (F.col("__to") == F.col("__pf")) & (F.col("__rank") == F.col("__pr"))
+    swapped = F.coalesce(F.col("__loss") + F.col("__pl") < 0, F.lit(False))
+    joined = ranked.join(partner, met, "left")
+    return joined.select(*[c(n) for n in keys], F.when(swapped, F.col("__to")).otherwise(F.col("cluster")).alias("cluster"), "__g", swapped.alias("__moved"))
+
+
+def balanced_swaps(t: Table, assigned: DataFrame, centres: np.ndarray, rounds: int = 10, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(key, cluster) after rounds of swaps for the given centres, until a round moves no row or ``rounds`` is reached."""
+    keys = list(t.key)
+    gaps = t.df.select(*[c(n) for n in keys], F.array(*_gaps(t, centres)).alias("__g"))
+    now = gaps.join(assigned.select(*[c(n) for n in keys], "cluster"), keys)
+    for _ in range(rounds if len(centres) > 1 else 0):
+        now = cut_lineage(swap_round(now.select(*[c(n) for n in keys], "cluster", "__g"), keys, len(centres), rows_per_range))
+        if not now.where("__moved").limit(1).count():
+            break
+    return now.select(*[c(n) for n in keys], "cluster")
+
+
+def balanced_kmeans(t: Table, k: int, max_iter: int = 5, seed: int = 42, swaps: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """Equal-size groups: balanced assignment, up to ``swaps`` rounds of swaps, and new means, from k-means centres.
 
     Returns (key, cluster) and the centres of the best round by inertia.
     """
@@ -91,6 +122,8 @@ def balanced_kmeans(t: Table, k: int, max_iter: int = 5, seed: int = 42) -> tupl
     best = None
     for _ in range(max_iter):
         assigned = cut_lineage(balanced_assign(t, centres))
+        if swaps:
+            assigned = balanced_swaps(t, assigned, centres, swaps)
         joined = t.df.join(assigned, list(t.key))
         own = F.get(F.array(*_gaps(t, centres)), F.col("cluster"))
         means = joined.groupBy("cluster").agg(
