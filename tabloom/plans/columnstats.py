@@ -7,8 +7,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table, c, is_numeric
-from tabloom.functions.rank import ROWS_PER_RANGE, average_ranks, running_total
+from tabloom.functions.rank import ROWS_PER_RANGE, running_total
 from tabloom.functions.stats import correlation, unpivot
+from tabloom.plans.pairs import pair_entropies, rank_correlation
 
 SCHEMA = "grp string, mf string, a string, b string, value double"
 NUMERIC_ONE = {"mean": F.avg, "std": F.stddev_pop, "kurtosis": F.kurtosis, "skew": F.skewness}
@@ -66,21 +67,7 @@ def mutual_information(t: Table, pairs: list[tuple[str, str]], group: str = "Fea
     """Normalised mutual information of categorical pairs from their contingency counts."""
     if not pairs:
         return _empty(t)
-    text = lambda n: F.coalesce(c(n).cast("string"), F.lit("NaN"))
-    cells = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text(a).alias("x"), text(b).alias("y")) for a, b in pairs]
-    )
-    counts = t.df.select(F.explode(cells).alias("s")).select("s.*").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
-    # Marginals are further aggregates of the counts, joined back: a window over a
-    # hot level would gather all its cells in one task.
-    xs = counts.groupBy("a", "b", "x").agg(F.sum("n").alias("nx"))
-    ys = counts.groupBy("a", "b", "y").agg(F.sum("n").alias("ny"))
-    total = counts.groupBy("a", "b").agg(F.sum("n").alias("t"))
-    share = lambda n: F.col(n) / F.col("t")
-    hx = xs.join(total, ["a", "b"]).groupBy("a", "b").agg((-F.sum(share("nx") * F.log(share("nx")))).alias("hx"))
-    hy = ys.join(total, ["a", "b"]).groupBy("a", "b").agg((-F.sum(share("ny") * F.log(share("ny")))).alias("hy"))
-    joint = counts.join(total, ["a", "b"]).groupBy("a", "b").agg((-F.sum(share("n") * F.log(share("n")))).alias("hxy"))
-    scored = joint.join(hx, ["a", "b"]).join(hy, ["a", "b"])
+    scored = pair_entropies(t, pairs)
     mi = F.greatest(F.col("hx") + F.col("hy") - F.col("hxy"), F.lit(0.0))
     scale = F.sqrt(F.col("hx") * F.col("hy")) if average == "geometric" else (F.col("hx") + F.col("hy")) / 2
     value = F.when(scale == 0, F.when((F.col("hx") == 0) & (F.col("hy") == 0), 1.0).otherwise(0.0)).otherwise(mi / scale)
@@ -102,21 +89,10 @@ def pearson(t: Table, pairs: list[tuple[str, str]], group: str = "Features") ->
 def spearman(
     t: Table, pairs: list[tuple[str, str]], group: str = "Features", rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Rank correlation of numeric pairs, ties sharing their mean rank.
-
-    Ranks are computed on the distinct values of each column and joined back by
-    value; adaptive execution splits the partition of a value that many rows share.
-    """
+    """Rank correlation of numeric pairs, ties sharing their mean rank; two shuffles for any number of columns."""
     if not pairs:
         return _empty(t)
-    names = sorted({n for pair in pairs for n in pair})
-    df = t.df.select(*[(t.number(n) + F.lit(0.0)).alias(f"v{i}") for i, n in enumerate(names)])
-    for i in range(len(names)):
-        ranks = average_ranks(df, f"v{i}", rows_per_range).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        df = df.join(ranks, f"v{i}", "left")
-    ranked = df.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(names)])
-    out = pearson(Table(ranked, (), None, tuple(names)), pairs, group)
-    return out.withColumn("mf", F.lit("spearman"))
+    return _labelled(rank_correlation(t, pairs, rows_per_range), group, "spearman", F.col("a"), F.col("b"), F.col("value"))
 
 
 def first_appearance_codes(t: Table, column: str, order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
