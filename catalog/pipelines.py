@@ -17,6 +17,7 @@ from tabloom.plans.leaderboard import (
     score_vs_baselines,
     search_pipelines,
     trailing_mean,
+    union_spec,
 )
 from tabloom.plans.pipeline import Pipeline, PipelineSpec, Step, pipeline_summary, redundant_steps
 from tabloom.sources.splits import train_test_split
@@ -207,3 +208,30 @@ def q_search(spark, sf):
         {"feature preprocess": ["standard_scale", "minmax_scale"], "feature selection": ["variance_threshold"]},
     )
     return rounded(search_pipelines(t, specs, "texts", "balanced_accuracy").select("pipeline", "score", "status"))
+
+
+def _centroid_sql(name: str, columns: list[str]) -> str:
+    gap = " + ".join(f"pow(z.{n} - k.{n}, 2)" for n in columns)
+    means = ", ".join(f"avg({n}) AS {n}" for n in columns)
+    return f"""SELECT '{name}' AS pipeline, {r6('avg((y = prediction)::INT)', 'score')} FROM (SELECT rid, z.y, arg_min(k.y, {gap}) AS prediction
+      FROM u z, (SELECT y, {means} FROM u WHERE train GROUP BY y) k WHERE NOT z.train GROUP BY rid, z.y)"""
+
+
+UNION_SQL = CENTROID_SQL[: CENTROID_SQL.index("k AS (SELECT y, avg(a)")] + """
+r AS (SELECT min(a) AS la, min(b) AS lb, min(c) AS lc, min(d) AS ld, max(a) AS ha, max(b) AS hb, max(c) AS hc, max(d) AS hd FROM i WHERE train),
+u AS MATERIALIZED (SELECT z.*, (i.a - la) / (ha - la) AS e, (i.b - lb) / (hb - lb) AS f, (i.c - lc) / (hc - lc) AS g,
+                   (i.d - ld) / (hd - ld) AS h FROM z JOIN i USING (rid), r)
+"""
+UNION_CASES = {
+    "impute_mean0standard_scale1clf_nearest_centroid2": list("abcd"),
+    "impute_mean0minmax_scale1clf_nearest_centroid2": list("efgh"),
+    "impute_mean0standard_scale1minmax_scale1clf_nearest_centroid2_3": list("abcdefgh"),
+}
+
+
+@query("search_unions", UNION_SQL + " UNION ALL ".join(_centroid_sql(n, c) for n, c in UNION_CASES.items()))
+def q_unions(spark, sf):
+    """Two chains and the union of their scales; the imputation that all share is fitted once."""
+    scales = [("impute_mean", "standard_scale"), ("impute_mean", "minmax_scale")]
+    specs = [*(PipelineSpec.chain(*s, "clf_nearest_centroid") for s in scales), union_spec(scales, "clf_nearest_centroid")]
+    return rounded(search_pipelines(numbers(spark, sf), {s.id: s for s in specs}, "lines").select("pipeline", "score"))

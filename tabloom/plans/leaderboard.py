@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,7 +14,8 @@ from tabloom.functions.rank import ROWS_PER_RANGE, running_total
 from tabloom.operators.base import get_operator, operator_names
 from tabloom.plans.contracts import Profile, accepts, needed, profile_table
 from tabloom.plans.metrics import cross_validate, evaluate
-from tabloom.plans.pipeline import Pipeline, PipelineSpec
+from tabloom.plans.pipeline import Pipeline, PipelineSpec, Step
+from tabloom.plans.trie import SCORE_SCHEMA, message_of, score_specs
 from tabloom.sources.splits import train_test_split
 
 # Fixed set: the learners a dataset's baseline consists of, each after impute_one_hot.
@@ -27,7 +29,6 @@ BASELINE_LEARNERS = (
     "clf_knn",
     "clf_decision_tree",
 )
-SCORE_SCHEMA = "dataset string, pipeline string, score double, status string, message string"
 
 
 def evaluate_train_test(t: Table, spec: PipelineSpec, metric: str = "accuracy", train: float = 0.8, seed: int = 42) -> float:
@@ -60,7 +61,7 @@ def score_pipelines(
                 score = evaluate_train_test(t, spec, metric, train)
             return (dataset, name, float(score) if score is not None else None, "ok", None)
         except Exception as error:  # noqa: BLE001 - reported in the table
-            return (dataset, name, None, "failed", str(error).splitlines()[0][:500])
+            return (dataset, name, None, "failed", message_of(error))
 
     with ThreadPoolExecutor(concurrent) as pool:
         rows = list(pool.map(run, specs.items()))
@@ -76,7 +77,7 @@ def baseline_leaderboard(t: Table, dataset: str, metric: str = "accuracy", learn
 
     A learner that failed keeps its row, with status and message and no score.
     """
-    return score_pipelines(t, baseline_specs(learners), dataset, metric, **options).where(
+    return score_specs(t, baseline_specs(learners), dataset, metric, **options).where(
         (F.col("status") != "ok") | (F.col("score") > 0)
     )
 
@@ -133,14 +134,37 @@ def candidate_steps(
     return out
 
 
-def candidate_pipelines(t: Table, learners: Sequence[str], families: Sequence[str], per_family: dict[str, Sequence[str]]) -> dict[str, PipelineSpec]:
+def union_spec(branches: Sequence[Sequence[str]], learner: str) -> PipelineSpec:
+    """A learner on the union of several chains; what the chains have in common at their start is one branch."""
+    numbers: dict[tuple[str, ...], int] = {(): 0}
+    steps: list[Step] = []
+    for branch in branches:
+        for i in range(1, len(branch) + 1):
+            at = tuple(branch[:i])
+            if at not in numbers:
+                numbers[at] = len(steps) + 1
+                steps.append(Step(numbers[at], at[-1], (numbers[at[:-1]],)))
+    return PipelineSpec((*steps, Step(len(steps) + 1, learner, tuple(numbers[tuple(b)] for b in branches))))
+
+
+def sampled(specs: dict[str, PipelineSpec], most: int, seed: int = 42) -> dict[str, PipelineSpec]:
+    """At most so many candidates, the same ones whatever the others are called or in which order they come."""
+    drawn = sorted(specs, key=lambda n: hashlib.sha256(f"{seed}:{n}".encode()).digest())[:most]
+    return {n: specs[n] for n in specs if n in set(drawn)}
+
+
+def candidate_pipelines(
+    t: Table, learners: Sequence[str], families: Sequence[str], per_family: dict[str, Sequence[str]], unions: bool = False
+) -> dict[str, PipelineSpec]:
     """Chains that take at most one operator per family, in family order, then a learner.
 
+    With ``unions`` also learners on the union of two chains neither of which continues the other.
     Whether the first step is legal is read off the table's profile; later steps
     are checked when they are fitted.
     """
     profile = profile_table(t)
     found: dict[str, PipelineSpec] = {}
+    legal: list[tuple[str, ...]] = []
     choices = [[None, *per_family.get(f, ())] for f in families]
     for picked in itertools.product(*choices):
         chain = [p for p in picked if p]
@@ -148,15 +172,23 @@ def candidate_pipelines(t: Table, learners: Sequence[str], families: Sequence[st
             first = get_operator(chain[0])
             if not (accepts(first.contract, profile, t.task) and needed(first.need, profile)):
                 continue
+            legal.append(tuple(chain))
         for learner in learners:
             if not chain and not accepts(get_operator(learner).contract, profile, t.task):
                 continue
             spec = PipelineSpec.chain(*chain, learner)
             found[spec.id] = spec
+    for a, b in itertools.combinations(legal, 2) if unions else ():
+        if a != b[: len(a)] and b != a[: len(b)]:
+            for learner in learners:
+                spec = union_spec((a, b), learner)
+                found[spec.id] = spec
     return found
 
 
-def search_pipelines(t: Table, specs: dict[str, PipelineSpec], dataset: str, metric: str = "accuracy", **options) -> DataFrame:
-    """Leaderboard over candidates, best first."""
-    scores = score_pipelines(t, specs, dataset, metric, **options)
+def search_pipelines(
+    t: Table, specs: dict[str, PipelineSpec], dataset: str, metric: str = "accuracy", most: int | None = None, **options
+) -> DataFrame:
+    """Leaderboard over candidates (or ``most`` of them), best first; steps that they share are fitted once."""
+    scores = score_specs(t, sampled(specs, most) if most else specs, dataset, metric, **options)
     return scores.orderBy(F.col("score").desc_nulls_last(), "pipeline")

@@ -8,7 +8,7 @@ columns that nobody reads are pruned by the optimizer.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -89,7 +89,7 @@ class ContractViolation(ValueError):
 
 
 @dataclass
-class _Running:
+class Running:
     """One frame with the columns of all steps, and where each step's are."""
 
     table: Table
@@ -97,11 +97,11 @@ class _Running:
     predictions: dict[int, str]
 
     @staticmethod
-    def start(t: Table) -> "_Running":
+    def start(t: Table) -> "Running":
         physical = [f"__s0_{i}" for i in range(len(t.features))]
         df = t.df.select(*[c(n) for n in t.roles], *[c(n).alias(p) for n, p in zip(t.features, physical)])
         table = replace(t, df=df, features=(), carry=(*t.carry, *physical))
-        return _Running(table, {0: t.features}, {})
+        return Running(table, {0: t.features}, {})
 
     def physical(self, step: int) -> list[str]:
         return [f"__s{step}_{i}" for i in range(len(self.features[step]))]
@@ -125,7 +125,7 @@ class _Running:
         )
         return replace(self.table, df=df, features=tuple(chosen), prediction=None)
 
-    def absorb(self, step: int, out: Table) -> "_Running":
+    def absorb(self, step: int, out: Table) -> "Running":
         physical = [f"__s{step}_{i}" for i in range(len(out.features))]
         kept = [c(n) for n in self.table.roles]
         added = [c(n).alias(p) for n, p in zip(out.features, physical)]
@@ -136,7 +136,19 @@ class _Running:
             added.append(c(out.prediction).alias(f"__p{step}"))
             carry.append(f"__p{step}")
         table = replace(self.table, df=out.df.select(*kept, *added), carry=tuple(carry))
-        return _Running(table, {**self.features, step: out.features}, predictions)
+        return Running(table, {**self.features, step: out.features}, predictions)
+
+    def keep(self, steps: Iterable[int]) -> "Running":
+        """Only the columns of the given steps (0 is the raw table)."""
+        kept = set(steps)
+        lost = {p for s in self.features if s not in kept for p in self.physical(s)}
+        lost |= {p for s, p in self.predictions.items() if s not in kept}
+        table = replace(self.table, carry=tuple(n for n in self.table.carry if n not in lost))
+        return Running(
+            replace(table, df=table.df.select(*[c(n) for n in table.roles])),
+            {s: f for s, f in self.features.items() if s in kept},
+            {s: p for s, p in self.predictions.items() if s in kept},
+        )
 
     def result(self, last: int) -> Table:
         out = self.view([last])
@@ -154,10 +166,10 @@ class Pipeline:
         self.spec = spec
         self.check_contracts = check_contracts
         self.fitted: dict[int, Fitted] = {}
-        self._train: _Running | None = None
+        self._train: Running | None = None
 
     def fit(self, t: Table) -> "Pipeline":
-        self._train, self.fitted = _Running.start(t), {}
+        self._train, self.fitted = Running.start(t), {}
         for step in self.spec.steps:
             self._fit_step(step)
         return self
@@ -188,7 +200,7 @@ class Pipeline:
     def transform(self, t: Table) -> Table:
         if tuple(t.features) != tuple(self._train.features[0]):
             raise SchemaDrift(f"fitted on {self._train.features[0]}, got {t.features}")
-        run = _Running.start(t)
+        run = Running.start(t)
         for step in self.spec.steps:
             run = run.absorb(step.index, self.fitted[step.index].transform(run.view(step.inputs)))
         return run.result(self.spec.steps[-1].index)
