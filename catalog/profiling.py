@@ -21,6 +21,7 @@ from tabloom.plans.columnstats import (
     spearman,
     summarise,
 )
+from tabloom.plans.groups import grouped_profile
 from tabloom.plans.profile import (
     class_occurrences,
     metafeature_profile,
@@ -416,3 +417,40 @@ def q_column_types(spark, sf):
     joined = column_types(t).join(codes, "name", "left")
     level, code = F.coalesce("level", F.lit("")), F.coalesce("code", F.lit(-1))
     return joined.select("name", "type", "is_target", level.alias("level"), code.cast("bigint").alias("code"))
+
+
+BY = "PARTITION BY l_suppkey"
+GROUPED = {
+    "NumberOfInstances": "n",
+    "NumberOfInstancesWithMissingValues": "bad",
+    "NumberOfMissingValues": "cells",
+    "PercentageOfMissingValues": "cells / (n * 5)",
+    "LogDatasetRatio": "ln(5 / n)",
+    "NumberOfClasses": "k",
+    "ClassProbabilityMax": "hi",
+    "ClassProbabilitySTD": "sd",
+    "ClassEntropy": "h",
+    "SymbolsSum": "s",
+    "KurtosisMax": "list_max(ku)",
+    "KurtosisMean": "list_avg(ku)",
+    "CorrelationMean": "list_avg(r)",
+    "CorrelationSTD": "list_stddev_pop(r)",
+}
+GROUPED_SQL = f"""{WITH_GAPS}, x AS (SELECT *, coalesce(qty, avg(qty) OVER ({BY})) AS fq, coalesce(disc, avg(disc) OVER ({BY})) AS fd,
+    coalesce(tax, avg(tax) OVER ({BY})) AS ft, dense_rank() OVER ({BY} ORDER BY coalesce(status, 'NaN')) AS st,
+    dense_rank() OVER ({BY} ORDER BY y) AS c FROM g),
+a AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE qty IS NULL OR disc IS NULL OR tax IS NULL) AS bad,
+    3 * count(*) - count(qty) - count(disc) - count(tax) AS cells, max(st) AS s,
+    [kurtosis_pop(fq), kurtosis_pop(price), kurtosis_pop(fd), kurtosis_pop(ft), kurtosis_pop(st)] AS ku,
+    [corr(qty, c), corr(price, c), corr(disc, c), corr(tax, c), corr(st, c)] AS r FROM x GROUP BY l_suppkey),
+m AS (SELECT l_suppkey, y, count(*) AS o, sum(count(*)) OVER ({BY}) AS t FROM g GROUP BY l_suppkey, y),
+cl AS (SELECT l_suppkey, count(*) AS k, max(o / t) AS hi, stddev_pop(o / t) AS sd, -sum(o / t * log2(o / t)) AS h FROM m GROUP BY l_suppkey),
+w AS (SELECT * FROM a JOIN cl USING (l_suppkey)) """ + " UNION ALL ".join(
+    f"SELECT l_suppkey::VARCHAR AS \"group\", '{n}' AS name, {r6(e, 'value')} FROM w" for n, e in GROUPED.items()
+)
+
+
+@query("metafeature_grouped", GROUPED_SQL)
+def q_grouped(spark, sf):
+    """Every supplier's lines as a dataset of its own, all in one set of jobs."""
+    return rounded(grouped_profile(profiled(spark, sf), "l_suppkey", GROUPED))
