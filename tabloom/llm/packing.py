@@ -15,6 +15,8 @@ from tabloom.llm.tokens import END_ID, encoder, vocabulary
 LENGTH = 4096
 #: Coordinates that document vectors are projected to, and bits of each: together below 63.
 DIMS, BITS = 4, 12
+#: Words that a worker remembers, and bytes of text that it encodes together.
+MEMO, SLICE = 800_000, 8_000_000
 #: Buckets that token ids are hashed to before the projection.
 BUCKETS = 1 << 10
 
@@ -77,10 +79,10 @@ def tokens_with_key(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, hilbert_key, doc_tokens, ids of each whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, MEMO)
         table = projection(encode.library.get_vocab_size())
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 ids, counts = encode(batch.column("text"), end_id)
                 keys = hilbert_key(coordinates(ids, counts, table))
                 yield pa.RecordBatch.from_arrays(

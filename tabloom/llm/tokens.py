@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from tabloom.llm.common import caches, give_back, spread
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
 MEMO = 400_000
-#: Words that the library gets in one string, with the separator between them.
-TOGETHER = 3000
+#: Words that the library gets in one string; the time per word grows with the string.
+TOGETHER = 100
 #: Words of small Latin letters: no normal form, lower case or split changes them.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SEPARATOR = "\x00"
@@ -68,6 +69,16 @@ def taken_apart(normalizer) -> str:
     return "".join(out)
 
 
+def token_widths(plain) -> np.ndarray:
+    """Bytes of the text that each id of a byte-level model stands for."""
+    model = json.loads(plain.to_str())["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    widths = np.zeros(max(model["vocab"].values(), default=-1) + 1, dtype=np.int64)
+    for token, i in model["vocab"].items():
+        widths[i] = len(token.removesuffix(suffix))
+    return widths
+
+
 class Encoder:
     most = MEMO
 
@@ -82,6 +93,7 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.widths = token_widths(self.plain)
         apart = taken_apart(self.library.normalizer)
         self.odd = r"[\p{M}\x00]|<\|" + (f"|[{apart}][{MARKS}]" if apart else "")
         self._forget()
@@ -107,7 +119,9 @@ class Encoder:
         if end_id is None:
             return flat, counts
         out = np.full(len(flat) + len(counts), end_id, dtype=self.dtype)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+        own = np.ones(len(out), dtype=bool)
+        own[np.cumsum(counts + 1) - 1] = False
+        out[own] = flat
         return out, counts + 1
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +152,10 @@ class Encoder:
         memo = self.memo
         new = [w for w in words if w not in memo]
         if new:
-            letters = [w for w in new if LETTERS(w)]
-            others = [w for w in new if not LETTERS(w)]
-            flat, lengths = zip(self._encoded(self.plain, letters), self._encoded(self.library, others), strict=True)
+            letters, others = [], []
+            for w in new:
+                (letters if LETTERS(w) else others).append(w)
+            flat, lengths = zip(self._measured(letters), self._encoded(self.library, others), strict=True)
             lengths = np.concatenate(lengths)
             memo.update(zip(letters + others, range(len(self.starts), len(self.starts) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
@@ -148,6 +163,19 @@ class Encoder:
             self.pool = np.concatenate([self.pool, *flat])
         return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def _measured(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of small letters and their counts, told apart by the bytes that the ids stand for."""
+        joined = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        found = self.plain.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in found), dtype=self.dtype)
+        ends = np.cumsum(self.widths[flat])
+        word_ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64))
+        last = np.searchsorted(ends, word_ends)
+        # every byte has its id and every word ends with one
+        if len(ends) and ends[-1] == word_ends[-1] and (ends[last] == word_ends).all():
+            return flat, np.diff(last, prepend=-1)
+        return self._encoded(self.plain, words)
+
     def _encoded(self, library, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words and their counts."""
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import shared_folder
 from tabloom.llm.token_store import documents_of, op10_token_store, read_shards, write_shards
-from tabloom.llm.tokens import encoder, vocabulary
+from tabloom.llm.tokens import Encoder, encoder, vocabulary
 from tabloom.llm.wavelet import WaveletMatrix
 
 
@@ -39,6 +39,28 @@ def test_words_encode_as_whole_texts(spark, sf):
     assert [flat[e - c : e].tolist() for e, c in zip(ends, counts)] == ids_of(texts)
 
 
+def test_each_word_is_encoded_once():
+    words = ["straße", "naïve", "ÿß", *(f"{a}{b}" for a in ("the", "x", "ø") for b in ("rent", "q", "åland"))]
+    encode = Encoder(vocabulary())
+    library, asked = encode.plain, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return library.encode_batch_fast(texts, **more)
+
+    encode.plain = Counted()
+    texts = [" ".join(words), " ".join(words[::-1])]
+    whole = [encode.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(pa.array(texts), None)[0].tolist() == whole[0] + whole[1]
+    # before, separators between the words were encoded too
+    assert sorted(asked) == sorted(w.lower() for w in words)
+    # a model whose ids don't tell their bytes gives the same ids in the slower way
+    encode._forget()
+    encode.widths[:] = 1
+    assert encode(pa.array(texts), None)[0].tolist() == whole[0] + whole[1]
+
+
 def test_every_letter_before_every_mark():
     letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
     marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()]
