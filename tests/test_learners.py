@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom import Table, get_operator, operator_names
 from tabloom.frame import REGRESSION, c
+from tabloom.operators import neighbors
 from tabloom.operators.ensemble import MajorityVote
 from tabloom.operators.neighbors import nearest
 from tabloom.plans.metrics import balanced_accuracy, evaluate
@@ -146,3 +147,35 @@ def test_grid_of_logistic_fits_agrees_with_single_fit(spark):
     p = 1 / (1 + np.exp(-z @ w))
     gradient = z.T @ ((y == "b") - p) - np.append(w[:-1], 0)
     assert np.abs(gradient).max() < 1e-3
+
+
+def test_neighbours_visit_units_once_and_in_bounded_batches(spark, monkeypatch):
+    """With no cell out of reach, a query row goes once to a unit, not once to each cell, in short Arrow batches."""
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(600, 16)), rng.normal(size=(70, 16))
+    monkeypatch.setattr(neighbors, "HELD", 20_000)
+    pivots = neighbors._Pivots(neighbors._side_by_side(x[:40]))
+    cell, d = pivots.cells(x)
+    sizes = dict(zip(*np.unique(cell, return_counts=True), strict=True))
+    radius = np.full(40, -np.inf)
+    near = np.full((40, 3), np.inf)
+    for j in sizes:
+        radius[j], near[j, : sizes[j]] = d[cell == j].max(), np.sort(d[cell == j])[:3]
+    first, pieces = neighbors._units(sizes, 100)
+    units = int((first + pieces).max())
+    right = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(q)], "qkey int, h int, x array<double>").coalesce(1)
+    visits = neighbors._visitors(right, pivots, radius, near, first, pieces, units, 3).select("qkey", "unit").collect()
+    assert len(visits) == len(set(visits)) <= 70 * units < 70 * len(sizes) / 3
+    rows, places, dist = neighbors._nearest_in(x, cell, q, np.full(70, np.inf), pivots, radius, 3, 7)
+    exact = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    order = np.argsort(rows, kind="stable")
+    assert (places[order].reshape(70, 3) == np.argsort(exact, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_a_missing_value_is_no_neighbour(spark):
+    rows = [(i, "u", float(i), None if i == 3 else 0.0) for i in range(6)]
+    t = table(spark, rows, "id int, y string, a double, b double", label="y", features=["a", "b"])
+    got = nearest(t, t.where(F.col("id") == 2), 3).orderBy("rank").toPandas()
+    assert got["d2"].tolist() == [0.0, 1.0, 4.0]
+    with pytest.raises(Exception, match="missing value"):
+        nearest(t, t, 3).collect()
