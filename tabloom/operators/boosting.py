@@ -12,15 +12,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabloom.frame import Table
+from tabloom.frame import Table, c
 from tabloom.functions.keys import MODULUS, keyed_hash
 from tabloom.functions.linear import softmax
 from tabloom.functions.rank import literal_array, quantiles, range_of
 from tabloom.functions.stats import class_index, class_stats, classes
 from tabloom.operators.base import register
 from tabloom.operators.bootstrap import balanced_bootstrap
-from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, shares
-from tabloom.operators.learner import Classifier
+from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, with_shares
+from tabloom.operators.learner import Classifier, roles_of
 from tabloom.operators.scale import bin_of
 from tabloom.operators.trees import DEEP
 from tabloom.session import cut_lineage
@@ -226,7 +226,7 @@ class BalancedForest(Classifier):
     """100 trees, each on a bootstrap with as many rows of every class as the smallest class has.
 
     Square-root feature subsets, best cuts. ``depth`` bounds the trees as in the other
-    forests; the state is plain JSON.
+    forests; the state is plain JSON, which names a folder if the forest is large.
     """
 
     name = "clf_balanced_random_forest"
@@ -237,10 +237,8 @@ class BalancedForest(Classifier):
         seed, trees = self.params.get("seed", 0), self.params.get("trees", 100)
         rule = Rule(len(labels), p, max(1, int(p**0.5)), seed, False, self.params.get("depth", DEEP))
         rows = cut_lineage(balanced_bootstrap(t, labels, trees, seed).select("x", "y", "w"))
-        forest = Grower(rows, trees, rule, self.params.get("local_rows", LOCAL_ROWS)).run()
-        return {"labels": labels, "forest": [vars(tree) for tree in forest]}
+        return {"labels": labels} | Grower(rows, trees, rule, self.params.get("local_rows", LOCAL_ROWS)).state()
 
     def apply(self, t, state):
-        p = shares(state["forest"], [t.number(n) for n in t.features])
-        scored = t.with_df(t.df.withColumn("__prob", p))
+        scored = t.with_df(with_shares(t.df, state, [t.number(n) for n in t.features], [c(n) for n in roles_of(t)]))
         return self.outputs(scored, state["labels"], [F.get("__prob", F.lit(i)) for i in range(len(state["labels"]))])

@@ -6,11 +6,13 @@ feature, and hands over one row per cell; nothing is exploded. Once a node holds
 ``local_rows`` rows, its rows go to one task, which grows the rest of the subtree.
 What a node draws depends on seed, tree and its place only, so any partitioning
 gives the same trees.
+
+Subtrees are written to the shared folder. A forest of few nodes is put together on the driver; of a
+larger one it keeps the tops, and rows are scored where the subtrees are.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,10 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.rank import quantiles
+from tabloom.session import cut_lineage, kept_copy
 
 LOCAL_ROWS = 20_000
 #: Cells of arrays that a pass holds in a task, and quantile cuts of a feature where nodes are large.
 CELLS, CUTS = 2_000_000, 31
+#: Nodes times (classes + 4) of a forest that is put together on the driver: some 100 MB there.
+HELD_CELLS = 2_000_000
+#: Bytes of subtrees, and of rows, that meet in a task to be scored.
+CHUNK_BYTES, SLICE_BYTES = 48_000_000, 32_000_000
+#: A subtree: its nodes in parallel arrays.
+PIECE = "slot long, nodes long, feature binary, cut binary, left binary, right binary, value binary"
+KINDS = {"feature": np.int32, "cut": np.float64, "left": np.int32, "right": np.int32, "value": np.float32}
 
 
 @dataclass
@@ -163,6 +173,29 @@ class Grower:
         self.edges: list[list[float]] | None = None
 
     def run(self) -> list[Tree]:
+        """The whole forest, put together on the driver."""
+        places = self._tops()
+        if places:
+            self._graft(places, self._finish(places))
+        return self.forest
+
+    def state(self) -> dict:
+        """``forest`` as plain lists; if that is too large, its tops, and in ``rest`` where the subtrees are and which meet."""
+        places = self._tops()
+        if not places:
+            return {"forest": [vars(t) for t in self.forest]}
+        path = self._finish(places)
+        sizes = dict(_pieces(self.rows.sparkSession, path).select("slot", "nodes").toLocalIterator())  # a number per small node
+        if sum(sizes.values()) * (self.rule.classes + 4) <= HELD_CELLS:
+            self._graft(places, path)
+            return {"forest": [vars(t) for t in self.forest]}
+        bytes_of = sum(np.dtype(v).itemsize for n, v in KINDS.items() if n != "value") + self.rule.classes * np.dtype(KINDS["value"]).itemsize
+        chunk = np.cumsum([sizes[slot] for slot in range(len(places))]) * bytes_of // CHUNK_BYTES
+        rest = {"path": path, "places": [list(q[:2]) for q in places], "chunk": chunk.tolist(), "classes": self.rule.classes}
+        return {"forest": [vars(t) for t in self.forest], "rest": rest}
+
+    def _tops(self) -> list[tuple]:
+        """Grow the large nodes; the small ones that are left, by tree."""
         k = self.rule.classes
         roots = [(tree, 0) for tree in range(len(self.forest))]
         counts = self._sums(roots, (k,), lambda x, y, w, slot, total, _: np.add.at(total, (slot, y), w), None)
@@ -180,8 +213,7 @@ class Grower:
             for start in range(0, len(large), step):
                 rest += self._split(large[start : start + step])
             todo = rest
-        self._finish(small)
-        return self.forest
+        return sorted(small)
 
     def _split(self, places: list[tuple]) -> list[tuple]:
         """Split large nodes; their children, if any."""
@@ -316,10 +348,8 @@ class Grower:
         high[found.column("cell").to_numpy()] = found.column("high").to_numpy()
         return low.reshape(count, p), high.reshape(count, p)
 
-    def _finish(self, places: list[tuple]) -> None:
-        """Send the rows of small nodes to one task each and graft the subtrees that come back."""
-        if not places:
-            return
+    def _finish(self, places: list[tuple]) -> str:
+        """Send the rows of small nodes to one task each, which grows the subtree; the folder where all are."""
         rule, p, trees = self.rule, self.rule.features, len(self.forest)
         visits = self._visits([q[:2] for q in places])
         names = ["slot", "x", "y", "w"]
@@ -338,12 +368,108 @@ class Grower:
             # the order of equal rows does not matter, so none is made
             x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, p)
             grown = rule.grow(x, table.column("y").to_numpy(), table.column("w").to_numpy().astype(float), tree, path, depth)
-            return pa.table({"slot": pa.array([slot], pa.int64()), "grown": pa.array([json.dumps(vars(grown))])})
+            columns = {n: pa.array([np.asarray(getattr(grown, n), kind).tobytes()], pa.binary()) for n, kind in KINDS.items()}
+            return pa.table({"slot": pa.array([slot], pa.int64()), "nodes": pa.array([len(grown.feature)], pa.int64())} | columns)
 
         dealt = self.rows.mapInArrow(deal, "slot long, x array<double>, y int, w long")
-        for r in dealt.groupBy("slot").applyInArrow(grow, "slot long, grown string").toLocalIterator():
+        return kept_copy(dealt.groupBy("slot").applyInArrow(grow, PIECE))
+
+    def _graft(self, places: list[tuple], path: str) -> None:
+        for r in _pieces(self.rows.sparkSession, path).orderBy("slot").toLocalIterator():
             tree, node, _, _ = places[r.slot]
-            self.forest[tree].graft(node, Tree(**json.loads(r.grown)))
+            own = {n: np.frombuffer(r[n], kind) for n, kind in KINDS.items()}
+            own["value"] = own["value"].reshape(-1, self.rule.classes).astype(float)
+            self.forest[tree].graft(node, Tree(**{n: v.tolist() for n, v in own.items()}))
+
+
+def _pieces(spark, path: str) -> DataFrame:
+    return spark.read.schema(PIECE).parquet(path)
+
+
+def with_shares(df: DataFrame, state: dict, features: list[Column], kept: list[Column]) -> DataFrame:
+    """``kept`` columns of ``df`` and ``__prob``, the mean class shares of each row.
+
+    Where the forest is too large for one task, a row goes once to each chunk of subtrees that it needs.
+    """
+    if "rest" not in state:
+        return df.withColumn("__prob", shares(state["forest"], features))
+    rest, p = state["rest"], len(features)
+    spark, k, count = df.sparkSession, rest["classes"], len(state["forest"])
+    tops = [Tree(**t) for t in state["forest"]]
+    chunk_of, slots = np.array(rest["chunk"]), [np.full(len(t.feature), -1) for t in tops]
+    for slot, (tree, node) in enumerate(rest["places"]):
+        slots[tree][node] = slot
+    values = []
+    for tree, own in zip(tops, slots, strict=True):
+        v = np.array(tree.value, float).reshape(-1, k)
+        values.append(np.where(own[:, None] < 0, v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300), 0.0))
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+
+    # ids are made once: the rows are written with them
+    rows = cut_lineage(df.select(*kept, F.array(*features).alias("__x"), F.monotonically_increasing_id().alias("__id")))
+    most = max(1, SLICE_BYTES // (8 * p))
+    slices = max(1, -(-rows.count() // most))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            asked = np.zeros((len(x), int(chunk_of[-1]) + 1), bool)
+            for tree, own in zip(tops, slots, strict=True):
+                slot = own[tree.route(x)]
+                at = np.flatnonzero(slot >= 0)
+                asked[at, chunk_of[slot[at]]] = True
+            for chunk in np.flatnonzero(asked.any(axis=0)).tolist():
+                sent = batch.take(pa.array(np.flatnonzero(asked[:, chunk])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sent.num_rows, chunk, np.int32)), *sent.columns], ["chunk", "id", "slice", "x"])
+
+    def score(pieces: pa.Table, part: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "p": pa.array([], pa.list_(pa.float64()))})
+        x = matrix(part.column("x").combine_chunks())
+        sizes = pieces.column("nodes").to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        all_of = {n: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in pieces.column(n)]) for n, kind in KINDS.items()}
+        shift = np.repeat(starts, sizes)
+        left, right = all_of["left"] + shift, all_of["right"] + shift
+        value = all_of["value"].reshape(-1, k)
+        held = pieces.column("slot").to_numpy()
+        start_of = np.full(len(chunk_of), -1)
+        start_of[held] = starts
+        total = np.zeros((len(x), k))
+        for tree in sorted({rest["places"][s][0] for s in held.tolist()}):
+            slot = slots[tree][tops[tree].route(x)]
+            live = np.flatnonzero((slot >= 0) & (start_of[slot] >= 0))
+            node = start_of[slot[live]]
+            own, ends = live, node.copy()
+            index = np.arange(len(live))
+            while len(index):
+                at = ends[index]
+                inner = all_of["feature"][at] >= 0
+                index, at = index[inner], at[inner]
+                if len(index):
+                    ends[index] = np.where(x[own[index], all_of["feature"][at]] > all_of["cut"][at], right[at], left[at])
+            v = value[ends].astype(float)
+            total[own] += v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, k, dtype=np.int32)), pa.array(total.ravel()))
+        return pa.table({"id": part.column("id"), "p": lists})
+
+    near = rows.select(F.col("__id").alias("id"), F.pmod(F.xxhash64("__id"), F.lit(slices)).cast("int").alias("slice"), F.col("__x").alias("x"))
+    dealt = near.mapInArrow(deal, "chunk int, id long, slice int, x array<double>")
+    named = spark.createDataFrame([(s, int(v)) for s, v in enumerate(rest["chunk"])], "slot long, chunk int")  # a row per subtree
+    pieces = _pieces(spark, rest["path"]).join(F.broadcast(named), "slot").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = pieces.groupBy("chunk", "slice").cogroup(dealt.groupBy("chunk", "slice")).applyInArrow(score, "id long, p array<double>")
+    sums = met.groupBy(F.col("id").alias("__id")).agg(*[F.sum(F.get("p", F.lit(i))).alias(f"__s{i}") for i in range(k)])
+
+    @F.pandas_udf("array<double>")
+    def of_tops(x: pd.Series) -> pd.Series:
+        own = np.array(x.tolist(), float).reshape(-1, p)
+        return pd.Series(list(sum(v[tree.route(own)] for tree, v in zip(tops, values, strict=True))))
+
+    found = rows.join(sums, "__id", "left").withColumn("__top", of_tops("__x"))
+    each = [(F.get("__top", F.lit(i)) + F.coalesce(F.col(f"__s{i}"), F.lit(0.0))) / F.lit(count) for i in range(k)]
+    return found.withColumn("__prob", F.array(*each)).drop("__id", "__x", "__top", *[f"__s{i}" for i in range(k)])
 
 
 def shares(forest: list[dict], features: list[Column]) -> Column:

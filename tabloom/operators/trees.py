@@ -10,12 +10,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabloom.frame import Table
+from tabloom.frame import Table, c
 from tabloom.functions.stats import class_index, classes
 from tabloom.operators.base import register
 from tabloom.operators.gradient import ONE_TASK, Plan, boosted_shares, fit_boosting
-from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, shares
-from tabloom.operators.learner import Classifier, Regressor
+from tabloom.operators.grow import LOCAL_ROWS, Grower, Rule, with_shares
+from tabloom.operators.learner import Classifier, Regressor, roles_of
 from tabloom.session import cut_lineage
 
 DEEP = 30  # the deepest tree Spark ML grows
@@ -108,7 +108,7 @@ class DecisionTree(_MlClassifier):
 class ExtraTrees(Classifier):
     """Extremely random trees: a node draws a cut from its own range for each of its features, no bootstrap.
 
-    ``depth`` bounds the trees as in the other forests; the state is plain JSON.
+    ``depth`` bounds the trees as in the other forests; the state is plain JSON, which names a folder if the forest is large.
     """
 
     name = "clf_extra_trees"
@@ -120,12 +120,10 @@ class ExtraTrees(Classifier):
         rule = Rule(len(labels), p, max(1, int(p**0.5)), self.params.get("seed", 0), True, self.params.get("depth", DEEP))
         rows = t.df.select(F.array(*[t.number(n) for n in t.features]).alias("x"), class_index(t, labels).cast("int").alias("y"))
         rows = cut_lineage(rows.where("y IS NOT NULL"))
-        forest = Grower(rows, self.params.get("trees", 10), rule, self.params.get("local_rows", LOCAL_ROWS)).run()
-        return {"labels": labels, "forest": [vars(tree) for tree in forest]}
+        return {"labels": labels} | Grower(rows, self.params.get("trees", 10), rule, self.params.get("local_rows", LOCAL_ROWS)).state()
 
     def apply(self, t, state):
-        p = shares(state["forest"], [t.number(n) for n in t.features])
-        scored = replace(t, df=t.df.withColumn("__prob", p))
+        scored = replace(t, df=with_shares(t.df, state, [t.number(n) for n in t.features], [c(n) for n in roles_of(t)]))
         return self.outputs(scored, state["labels"], [F.get("__prob", F.lit(i)) for i in range(len(state["labels"]))])
 
 

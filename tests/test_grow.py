@@ -9,6 +9,7 @@ from tabloom import Table, get_operator
 from tabloom.frame import CLASSIFICATION
 from tabloom.operators.base import Fitted
 from tabloom.operators.bootstrap import balanced_bootstrap
+from tabloom.operators import grow
 from tabloom.operators.grow import Grower, Rule, Tree
 from tests.helpers import blobs
 
@@ -128,3 +129,24 @@ def test_embedding_needs_no_explode(spark):
     leaves = [n for n in out.columns if "rfembdng" in n]
     assert (out[leaves].sum(axis=1) == 4).all() and (out[leaves].sum(axis=0) > 0).all()
     assert fitted.state["leaves"] == sorted(fitted.state["leaves"])
+
+
+@pytest.mark.parametrize("name", ["clf_extra_trees", "clf_balanced_random_forest"])
+def test_a_large_forest_stays_off_the_driver(spark, monkeypatch, name):
+    """Rows are scored where the subtrees are, to the same shares, and the driver keeps the tops only."""
+    t, _, _ = blobs(spark, n=700, gap=0.7, seed=5)
+    t = t.with_df(t.df.unionByName(t.df.where("id < 40")).repartition(5))  # keys that repeat
+    if name == "clf_balanced_random_forest":
+        t = t.where(F.col("id") >= 40)  # here the key must name one row
+    params = {"trees": 6, "local_rows": 60}
+    near = get_operator(name, **params).fit(t)
+    monkeypatch.setattr(grow, "HELD_CELLS", 0)
+    monkeypatch.setattr(grow, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(grow, "SLICE_BYTES", 24 * 200)
+    far = get_operator(name, **params).fit(t)
+    assert "rest" not in near.state and max(far.state["rest"]["chunk"]) > 2
+    assert sum(len(v["feature"]) for v in far.state["forest"]) < 0.3 * sum(len(v["feature"]) for v in near.state["forest"])
+    a, b = (f.transform(t).df.toPandas() for f in (near, Fitted.from_json(far.to_json())))
+    columns = [n for n in a.columns if n.endswith("Pred")]
+    a, b = (v.sort_values(["id", *columns], ignore_index=True) for v in (a, b))
+    assert np.allclose(a[columns], b[columns]) and a[["id", "y"]].equals(b[["id", "y"]])
