@@ -6,9 +6,10 @@ bin of the nodes that are new, left ones only; right ones are their parents' res
 values have a bin of their own and go to the side where they gain more. Trees grow best leaf
 first up to a number of leaves, level by level where only the depth bounds them.
 
-A table of up to ``one_task`` rows is fitted by one task, where passes are array operations;
-a larger one takes a Spark job per pass, and margins are rewritten every few rounds. Both add
-up the same numbers.
+A table of up to ``one_task`` rows is fitted by one task, where passes are array operations.
+A larger one takes a job per pass: over blocks of arrays that stay with the executors, with one stage
+and a part of the sums from each task, or, where those parts are too large for the driver, over a
+written table with a keyed aggregate. Margins are renewed every few rounds. All add up the same numbers.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.frame import Table
@@ -31,6 +33,8 @@ from tabloom.session import cut_lineage
 ONE_TASK = 100_000
 #: Cuts of a feature at most (all midpoints where it has fewer values), and rounds between two rewrites of margins.
 CUTS, CUT_EVERY = 255, 10
+#: Tasks of a pass over blocks at most, and bytes of sums that the driver takes from all of them.
+TASKS, PASSED = 64, 64_000_000
 
 
 @dataclass(frozen=True)
@@ -249,6 +253,58 @@ class InTask:
         self.slopes = slopes(self.margins, self.y, self.k)
 
 
+class OnBlocks:
+    """Rows as blocks of arrays (bins, y, margins) that stay with the executors; a call of ``sums`` is a job of one stage."""
+
+    def __init__(self, blocks: RDD, k: int, width: int) -> None:
+        self.k, self.width, self.pending = k, width, []
+        self.blocks, self.before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
+
+    def _current(self):
+        width, pending = self.width, list(self.pending)
+
+        def current(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for bins, y, margins in blocks:
+                for new in pending:
+                    margins = margins + steps_of(new, bins, width - 1)
+                yield bins, y, margins
+
+        return current
+
+    def sums(self, growing: list, wanted: list) -> np.ndarray:
+        current, k, width = self._current(), self.k, self.width
+
+        def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            total = None
+            for bins, y, margins in current(blocks):
+                own = histograms(growing, wanted, bins, *slopes(margins, y, k), width)
+                total = own if total is None else total + own
+            if total is not None:
+                flat = total.reshape(-1, 3)
+                cells = np.flatnonzero(flat[:, 2])
+                yield total.shape, cells, flat[cells]
+
+        out = None
+        for shape, cells, part in self.blocks.mapPartitions(run).collect():  # in the order of the partitions
+            out = np.zeros((int(np.prod(shape[:3])), 3)) if out is None else out
+            out[cells] += part
+        if self.before is not None:  # the blocks in use have been made now
+            self.before.unpersist()
+            self.before = None
+        return out.reshape(shape)
+
+    def add(self, trees: list[dict]) -> None:
+        self.pending.append(trees)
+        if len(self.pending) >= CUT_EVERY:
+            self.before, self.blocks = self.blocks, self.blocks.mapPartitions(self._current()).persist(StorageLevel.MEMORY_AND_DISK)
+            self.pending = []
+
+    def close(self) -> None:
+        for blocks in (self.before, self.blocks):
+            if blocks is not None:
+                blocks.unpersist()
+
+
 class OnSpark:
     """Rows (bins, y, margins as binary) in a written table; each call of ``sums`` is a job."""
 
@@ -342,6 +398,7 @@ def fit_boosting(t: Table, labels: list, plan: Plan, one_task: int = ONE_TASK) -
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         return binned(batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p), cuts)
 
+    tasks = max(1, min(TASKS, t.df.sparkSession.sparkContext.defaultParallelism))
     if counts.sum() <= one_task:
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,6 +409,24 @@ def fit_boosting(t: Table, labels: list, plan: Plan, one_task: int = ONE_TASK) -
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(found.run())])], ["model"])
 
         model = json.loads(rows.repartition(1).mapInArrow(fit, "model string").first().model)
+    elif tasks * (1 if k == 2 else k) * max(1, plan.most_leaves // 2) * p * width * 32 <= PASSED:
+
+        def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([matrix(b).tobytes()]), pa.array([b.column("y").to_numpy().astype(np.int32).tobytes()])], ["bins", "y"])
+
+        found = Boosting(None, plan, counts, lengths, width)
+        base = np.array(found.base)
+
+        def arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            y = np.frombuffer(r.y, np.int32)
+            return np.frombuffer(r.bins, np.uint16).reshape(-1, p), y, np.tile(base, (len(y), 1))
+
+        found.source = OnBlocks(rows.repartition(tasks).mapInArrow(blocked, "bins binary, y binary").rdd.map(arrays), k, width)
+        try:
+            model = found.run()
+        finally:
+            found.source.close()
     else:
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

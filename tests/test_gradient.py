@@ -130,3 +130,31 @@ def test_one_class_and_constant_columns(spark):
     assert (got["prediction"] == 0).all()
     _, got = scores(table(spark, x, np.arange(20) % 2), "clf_xgb", rounds=3)
     assert np.allclose(got.iloc[:, 1:].to_numpy(float), 0.5)
+
+
+@pytest.mark.parametrize("passed", [64_000_000, 0])
+def test_passes_of_a_large_table_have_one_stage(spark, monkeypatch, passed):
+    """Blocks stay with the executors; a written table is left for sums too large for the driver. Trees are the same."""
+    monkeypatch.setattr(gradient, "PASSED", passed)
+    monkeypatch.setattr(gradient, "CUT_EVERY", 2)
+    stages = []
+    sums = gradient.OnBlocks.sums
+
+    def counted(self, growing, wanted):
+        group = f"pass {len(stages)}"
+        spark.sparkContext.setJobGroup(group, "")
+        out = sums(self, growing, wanted)
+        tracker = spark.sparkContext.statusTracker()
+        stages.append([len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)])
+        return out
+
+    monkeypatch.setattr(gradient.OnBlocks, "sums", counted)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(int)
+    t = table(spark, x, y, partitions=2)
+    fitted, got = scores(t, "clf_lightgbm", rounds=5, one_task=0)
+    assert bool(stages) == bool(passed) and all(len(s) == 1 for s in stages)
+    one, want = scores(t, "clf_lightgbm", rounds=5)
+    np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9)
+    assert [len(r[0]["feature"]) for r in fitted.state["rounds"]] == [len(r[0]["feature"]) for r in one.state["rounds"]]
