@@ -33,8 +33,8 @@ from tabloom.session import cut_lineage
 ONE_TASK = 100_000
 #: Cuts of a feature at most (all midpoints where it has fewer values), and rounds between two rewrites of margins.
 CUTS, CUT_EVERY = 255, 10
-#: Tasks of a pass over blocks at most, and bytes of sums that the driver takes from all of them.
-TASKS, PASSED = 64, 64_000_000
+#: Tasks of a pass over blocks at most, bytes of sums that the driver takes from all of them, and rounds between two renewals of blocks.
+TASKS, PASSED, RENEW_EVERY = 64, 64_000_000, 3
 
 
 @dataclass(frozen=True)
@@ -295,7 +295,7 @@ class OnBlocks:
 
     def add(self, trees: list[dict]) -> None:
         self.pending.append(trees)
-        if len(self.pending) >= CUT_EVERY:
+        if len(self.pending) >= RENEW_EVERY:
             self.before, self.blocks = self.blocks, self.blocks.mapPartitions(self._current()).persist(StorageLevel.MEMORY_AND_DISK)
             self.pending = []
 

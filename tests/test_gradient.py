@@ -137,6 +137,7 @@ def test_passes_of_a_large_table_have_one_stage(spark, monkeypatch, passed):
     """Blocks stay with the executors; a written table is left for sums too large for the driver. Trees are the same."""
     monkeypatch.setattr(gradient, "PASSED", passed)
     monkeypatch.setattr(gradient, "CUT_EVERY", 2)
+    monkeypatch.setattr(gradient, "RENEW_EVERY", 2)
     stages = []
     sums = gradient.OnBlocks.sums
 
